@@ -1,0 +1,225 @@
+"""Independent DuckDB SQL for every registered query.
+
+Written in DuckDB's dialect against the raw driver views (``pages``,
+``events``...). It shares only the fixed patterns and constants with the
+Spark side, never plan code.
+"""
+
+from __future__ import annotations
+
+from linkloom.functions import patterns as P
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def py_strip(x: str) -> str:
+    return f"regexp_replace({x}, {q(P.PY_STRIP)}, '', 'g')"
+
+
+def collapse_ws(x: str) -> str:
+    return f"regexp_replace({x}, {q(P.ASCII_SPACE_RUN)}, ' ', 'g')"
+
+
+def decode(x: str) -> str:
+    for ent, txt in P.HTML_ENTITIES:
+        x = f"replace({x}, {q(ent)}, {q(txt)})"
+    return x
+
+
+def html_text(x: str) -> str:
+    return py_strip(collapse_ws(decode(f"regexp_replace({x}, {q(P.TAG_RE)}, ' ', 'g')")))
+
+
+def norm(x: str) -> str:
+    return f"regexp_replace(lower({x}), {q(P.NON_WORD)}, '', 'g')"
+
+
+def tokens(x: str) -> str:
+    return f"string_split({py_strip(collapse_ws(x))}, ' ')"
+
+
+CORPUS = f"""
+corpus AS (
+  SELECT page_id, url,
+    nullif({html_text(f"regexp_extract(html, {q(P.H1_RE)}, 1)")}, '') AS h1,
+    nullif({html_text(f"regexp_extract(html, {q(P.TITLE_RE)}, 1)")}, '') AS meta_title,
+    {html_text(f"regexp_replace(regexp_extract(html, {q(P.ARTICLE_RE)}, 1), {q(P.H1_ELEMENT_RE)}, ' ', 'g')")} AS content
+  FROM pages
+)"""
+
+CORPUS_GAPS = """
+corpus_gaps AS (
+  SELECT page_id, url,
+    CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 13 = 0 THEN 'NA' ELSE h1 END AS h1,
+    CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 3 = 0 THEN meta_title || ' - Site | Example'
+         ELSE meta_title END AS meta_title,
+    content
+  FROM corpus
+)"""
+
+# The reference reads its CSV with pandas, which turns missing markers
+# (including 'NA') into NaN; the same step on the gapped corpus.
+_markers = ", ".join(q(m) for m in P.NULL_MARKERS)
+CORPUS_READ = f"""
+corpus_read AS (
+  SELECT page_id, url,
+    CASE WHEN h1 IN ({_markers}) THEN NULL ELSE h1 END AS h1,
+    CASE WHEN meta_title IN ({_markers}) THEN NULL ELSE meta_title END AS meta_title,
+    CASE WHEN content IN ({_markers}) THEN NULL ELSE content END AS content
+  FROM corpus_gaps
+)"""
+
+
+def url_entity(u: str) -> str:
+    seg = (f"CASE WHEN strpos({u}, '/') > 0 THEN "
+           f"string_split(rtrim({u}, '/'), '/')[-1] ELSE '' END")
+    words = py_strip(
+        f"regexp_replace(regexp_replace({seg}, {q(P.URL_EXTENSION_RE.replace('(?i)', ''))}, '', 'gi'), "
+        f"{q(P.URL_WORD_JOINERS_RE)}, ' ', 'g')")
+    return f"(CASE WHEN {words} <> '' AND strpos({words}, '.') = 0 THEN {words} END)"
+
+
+def h1_entity(h: str) -> str:
+    return f"(CASE WHEN {h} <> '' THEN {py_strip(h)} END)"
+
+
+def title_entity(t: str) -> str:
+    head = py_strip(f"regexp_split_to_array({t}, {q(P.TITLE_SEPARATOR_RE)})[1]")
+    return f"(CASE WHEN {t} <> '' AND {head} <> '' THEN {head} END)"
+
+
+def with_ctes(*ctes: str, body: str) -> str:
+    return "WITH " + ",".join(ctes) + "\n" + body
+
+
+# ---------------------------------------------------------------- entities
+def entities_cte(src: str = "corpus", name: str = "ents") -> str:
+    h, t = "coalesce(h1, '')", "coalesce(meta_title, '')"
+    return f"""
+{name} AS (
+  SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY fpos) AS pos, origin, entity FROM (
+    SELECT page_id, url, 1 AS fpos, 'url' AS origin, {url_entity('url')} AS entity FROM {src}
+    UNION ALL SELECT page_id, url, 2, 'h1', {h1_entity(h)} FROM {src}
+    UNION ALL SELECT page_id, url, 3, 'title', {title_entity(t)} FROM {src}
+  ) WHERE entity IS NOT NULL
+)"""
+
+
+URL_PARTS_RE = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
+
+
+def url_silo(u: str) -> str:
+    segs = f"list_filter(string_split(regexp_extract({u}, {q(URL_PARTS_RE)}, 2), '/'), lambda s: s <> '')"
+    return f"(lower(regexp_extract({u}, {q(URL_PARTS_RE)}, 1)) || '/' || coalesce({segs}[1], ''))"
+
+
+def url_depth(u: str) -> str:
+    segs = f"list_filter(string_split(regexp_extract({u}, {q(URL_PARTS_RE)}, 2), '/'), lambda s: s <> '')"
+    return f"len({segs})"
+
+
+_CLAUSE = ", ".join(q(c) for c in P.CLAUSE_END_CHARS)
+
+
+def grams_cte(name: str, src: str, keep: str, text: str, with_anchor: bool,
+              min_n: int = 2, max_n: int = 6) -> str:
+    """Phrases of min_n..max_n tokens of ``text`` for each row of ``src``."""
+    anchor = ""
+    if with_anchor:
+        anchor = (f", regexp_replace(array_to_string(list_slice(raw, i, i + n - 1), ' '), "
+                  f"{q(P.OUTER_NON_WORD)}, '', 'g') AS anchor")
+    ns = ", ".join(f"({k})" for k in range(min_n, max_n + 1))
+    return f"""
+{name}_tok AS (
+  SELECT {keep}, raw,
+    list_transform(raw, lambda t: {norm('t')}) AS nt,
+    list_transform(raw, lambda t: right(t, 1) IN ({_CLAUSE})) AS brk
+  FROM (SELECT {keep}, {tokens(text)} AS raw FROM {src})
+),
+{name} AS (
+  SELECT {keep}, i AS pos, n, array_to_string(list_slice(nt, i, i + n - 1), ' ') AS gram{anchor}
+  FROM (SELECT *, unnest(range(1, len(raw) + 1)) AS i FROM {name}_tok) x, (VALUES {ns}) v(n)
+  WHERE i + n - 1 <= len(raw)
+    AND NOT list_contains(list_slice(nt, i, i + n - 1), '')
+    AND NOT list_contains(list_slice(brk, i, i + n - 2), true)
+)"""
+
+
+def link_ctes(src: str = "corpus", k: int = 5, max_df: int = 20, near_dup: bool = True) -> list[str]:
+    """CTEs ending in ``ranked`` (all candidate pairs with rank) for L1-L11."""
+    ctes = [
+        entities_cte(src, "l_ents"),
+        grams_cte("tgrams", "l_ents", "page_id, url, pos, origin", "entity", False),
+        """
+tphr AS (
+  SELECT page_id AS target_id, url AS target_url, n, gram, arg_min(origin, pos) AS origin
+  FROM tgrams GROUP BY page_id, url, n, gram
+)""",
+        f"""
+pdf AS (SELECT n, gram, count(*) AS df FROM tphr GROUP BY n, gram),
+tg AS (
+  SELECT tphr.*, pdf.df, {url_silo('target_url')} AS t_silo, {url_depth('target_url')} AS t_depth
+  FROM tphr JOIN pdf USING (n, gram) WHERE pdf.df <= {max_df}
+)""",
+        f"""
+l_src AS (SELECT page_id, url, coalesce(content, '') AS content FROM {src})""",
+        grams_cte("sgrams", "l_src", "page_id, url", "content", True),
+        f"""
+matches AS (
+  SELECT s.page_id AS source_id, s.url AS source_url, {url_silo('s.url')} AS s_silo,
+         {url_depth('s.url')} AS s_depth, s.pos, s.n, s.gram, s.anchor,
+         t.target_id, t.target_url, t.t_silo, t.t_depth, t.origin, t.df
+  FROM sgrams s JOIN tg t ON s.n = t.n AND s.gram = t.gram
+  WHERE s.url <> t.target_url
+),
+pairs AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY n DESC, df, pos) AS rn
+    FROM matches) WHERE rn = 1
+)""",
+        f"""
+sh_tok AS (
+  SELECT page_id, list_filter(list_transform({tokens("coalesce(content, '')")}, lambda t: {norm('t')}),
+                              lambda w: w <> '') AS words
+  FROM {src}
+),
+sh AS (
+  SELECT page_id, list_distinct(list_transform(range(1, len(words) - 3),
+           lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) AS shl FROM sh_tok
+),
+shn AS (SELECT page_id, len(shl) AS nsh FROM sh),
+shr AS (SELECT page_id, unnest(shl) AS s FROM sh),
+pair_inter AS (
+  SELECT p.source_id, p.target_id, count(*) AS inter
+  FROM (SELECT DISTINCT source_id, target_id FROM pairs) p
+  JOIN shr a ON a.page_id = p.source_id
+  JOIN shr b ON b.page_id = p.target_id AND b.s = a.s
+  GROUP BY p.source_id, p.target_id
+),
+dups AS (
+  SELECT i.source_id, i.target_id, i.inter, na.nsh + nb.nsh - i.inter AS uni
+  FROM pair_inter i JOIN shn na ON na.page_id = i.source_id JOIN shn nb ON nb.page_id = i.target_id
+  WHERE na.nsh > 0 AND nb.nsh > 0 AND i.inter * 5 >= (na.nsh + nb.nsh - i.inter) * 4
+)""",
+        f"""
+kept AS (
+  SELECT p.*, CASE WHEN s_silo = t_silo AND t_depth < s_depth THEN 2
+                   WHEN s_silo = t_silo THEN 1 ELSE 0 END AS priority
+  FROM pairs p
+  {"WHERE NOT EXISTS (SELECT 1 FROM dups d WHERE d.source_id = p.source_id AND d.target_id = p.target_id)" if near_dup else ""}
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n DESC, df ASC, priority DESC,
+                                pos ASC, target_url ASC, target_id ASC) AS rank
+  FROM kept
+)""",
+    ]
+    return ctes
+
+
+def link_suggestions_sql(src_ctes: list[str], src: str = "corpus", k: int = 5) -> str:
+    return with_ctes(*src_ctes, *link_ctes(src, k), body=f"""
+SELECT source_url, anchor AS anchor_text, target_url, origin || ': ' || gram AS entity_match, rank
+FROM ranked WHERE rank <= {k}""")

@@ -223,3 +223,322 @@ def link_suggestions_sql(src_ctes: list[str], src: str = "corpus", k: int = 5) -
     return with_ctes(*src_ctes, *link_ctes(src, k), body=f"""
 SELECT source_url, anchor AS anchor_text, target_url, origin || ': ' || gram AS entity_match, rank
 FROM ranked WHERE rank <= {k}""")
+
+
+# ---------------------------------------------------------------- fixtures
+def words_sql(text: str, start: int, count: int) -> str:
+    return f"array_to_string(list_slice(string_split({text}, ' '), {start}, {start + count - 1}), ' ')"
+
+
+SUGGESTIONS = f"""
+sg_c AS (SELECT page_id, url, h1, content FROM corpus),
+sg_t AS (SELECT page_id AS t_id, url AS t_url, h1 AS t_h1 FROM corpus),
+sg_base AS (SELECT * FROM sg_c c JOIN sg_t t ON t.t_id = c.page_id + 1),
+suggestions AS (
+  SELECT page_id AS source_id, url AS source_url,
+    CASE WHEN page_id % 10 = 4 THEN {words_sql('content', 1, 1)}
+         WHEN page_id % 10 = 5 THEN 'zq absent words' ELSE {words_sql('content', 1, 3)} END AS anchor_text,
+    CASE WHEN page_id % 10 = 1 THEN t_url || '?unknown=1' WHEN page_id % 10 = 2 THEN url
+         ELSE t_url END AS target_url,
+    'h1: ' || coalesce(t_h1, '') AS entity_match, 1 AS seq
+  FROM sg_base
+  UNION ALL
+  SELECT page_id, url, {words_sql('content', 4, 3)}, t_url, 'h1: ' || coalesce(t_h1, ''), 2
+  FROM sg_base WHERE page_id % 10 = 3
+  UNION ALL
+  SELECT c.page_id, c.url, {words_sql('c.content', 1, 3)}, t.t_url, 'h1: ' || coalesce(t.t_h1, ''), o.off
+  FROM sg_c c CROSS JOIN (SELECT unnest(range(2, 8)) AS off) o
+  JOIN sg_t t ON t.t_id = c.page_id + o.off
+  WHERE c.page_id % 10 = 6
+)"""
+
+
+def _clean_words(x: str) -> str:
+    return (f"array_to_string(list_filter(list_transform(string_split({x}, ' '), lambda t: {norm('t')}), "
+            f"lambda w: w <> ''), ' ')")
+
+
+_NL = "chr(10)"
+RESPONSES = f"""
+resp_items AS (
+  SELECT source_id, source_url,
+    string_agg('{{"anchor_text": "' || {_clean_words('anchor_text')} || '", "target_url": "' || target_url
+               || '", "entity_match": "seq ' || CAST(seq AS VARCHAR) || '", "relevance": "r"}}', ', '
+               ORDER BY seq, target_url, anchor_text) AS items
+  FROM suggestions GROUP BY source_id, source_url
+),
+responses AS (
+  SELECT source_id, source_url,
+    CASE source_id % 5
+      WHEN 0 THEN '[' || items || ']'
+      WHEN 1 THEN 'Here are the suggestions:' || {_NL} || '```json' || {_NL} || '[' || items || ']'
+                  || {_NL} || '```' || {_NL} || 'Hope this helps.'
+      WHEN 2 THEN '[1, {{"note": "none"}}, ' || items || ']'
+      WHEN 3 THEN '{{"anchor_text": "x y", "target_url": "' || source_url || '"}}'
+      ELSE '[' || left(items, CAST(floor(length(items) / 2) AS INTEGER)) END AS response_text
+  FROM resp_items
+)"""
+
+ARRAY_SPAN_RE = "(?s)\\[.*\\]"
+
+RESPONSE_PARSE = f"""
+rp0 AS (SELECT source_url, {py_strip("coalesce(response_text, '')")} AS t FROM responses),
+rp1 AS (SELECT source_url, t, json_valid(t) AS d_ok, regexp_extract(t, {q(ARRAY_SPAN_RE)}, 0) AS span FROM rp0),
+parsed AS (
+  SELECT source_url,
+    CASE WHEN d_ok THEN 'direct' WHEN span <> '' AND json_valid(span) THEN 'fallback' ELSE 'failed' END AS parse_status,
+    CASE WHEN d_ok THEN CAST(t AS JSON) WHEN span <> '' AND json_valid(span) THEN CAST(span AS JSON) END AS root
+  FROM rp1
+),
+r_items AS (
+  SELECT source_url, pos, json_extract(root, '$[' || CAST(pos AS VARCHAR) || ']') AS el
+  FROM (SELECT source_url, root, unnest(range(0, CAST(json_array_length(root) AS BIGINT))) AS pos
+        FROM parsed WHERE json_type(root) = 'ARRAY')
+),
+r_valid AS (
+  SELECT * FROM r_items
+  WHERE json_extract(el, '$.anchor_text') IS NOT NULL AND json_extract(el, '$.target_url') IS NOT NULL
+)"""
+
+_EVENT_CASE = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in
+                       {"signup": "create", "view": "start", "click": "pause",
+                        "purchase": "complete", "error": "stop"}.items())
+RUN_EVENTS = f"""
+run_events AS (SELECT user_id AS job_id, ts, event_id, CASE event_type {_EVENT_CASE} END AS cmd FROM events)"""
+
+
+def fold_case() -> str:
+    from linkloom.operators.runs import TRANSITIONS
+    whens = []
+    for cmd, moves in TRANSITIONS.items():
+        for frm, to in moves.items():
+            whens.append(f"WHEN c = {q(cmd)} AND acc.s = {q(frm)} THEN {{'s': {q(to)}, 'a': acc.a + 1}}")
+    return "CASE " + " ".join(whens) + " ELSE acc END"
+
+
+JOBS = f"""
+j_fold AS (
+  SELECT job_id, count(*) AS n_events,
+    list_reduce(list(cmd ORDER BY ts, event_id), lambda acc, c: {fold_case()}, {{'s': 'none', 'a': 0}}) AS r
+  FROM run_events GROUP BY job_id
+),
+job_state AS (
+  SELECT job_id, CASE WHEN r.s <> 'none' THEN r.s END AS status, CAST(r.a AS BIGINT) AS accepted,
+         n_events - r.a AS ignored, n_events FROM j_fold
+),
+job_latest AS (
+  SELECT job_id, min(ts) AS created_at, max(ts) AS updated_at,
+         arg_max(event_id, (ts, event_id)) AS last_event_id, arg_max(cmd, (ts, event_id)) AS last_cmd,
+         count(*) AS n_events
+  FROM run_events GROUP BY job_id
+),
+jobs AS (
+  SELECT CAST(l.job_id AS VARCHAR) AS job_id, s.status, l.n_events AS total_pages, s.accepted AS current_page,
+         l.created_at, l.updated_at, CAST(s.accepted AS DOUBLE) / CAST(greatest(1, l.n_events) AS DOUBLE) AS progress
+  FROM job_latest l JOIN job_state s USING (job_id)
+)"""
+
+
+# ------------------------------------------------------------------ queries
+def _w(*ctes, body):
+    return with_ctes(*ctes, body=body)
+
+
+_C = [CORPUS]
+_CR = [CORPUS, CORPUS_GAPS, CORPUS_READ]
+_BF = "coalesce(h1, '') AS h1, coalesce(meta_title, '') AS meta_title"
+_LS = link_ctes("corpus")
+
+
+def _ranked_body(k: int) -> str:
+    return f"SELECT * FROM ranked WHERE rank <= {k}"
+
+
+def _link_sugg(k: int = 5) -> str:
+    return (f"SELECT source_url, anchor AS anchor_text, target_url, origin || ': ' || gram AS entity_match, "
+            f"rank FROM ranked WHERE rank <= {k}")
+
+
+_AUDIT_FIX = f"""
+audit_cat AS (SELECT DISTINCT url AS target_url FROM corpus),
+audit_src AS (SELECT url AS source_url, arg_min(coalesce(content, ''), page_id) AS content FROM corpus GROUP BY url),
+audit AS (
+  SELECT s.source_url, s.anchor_text, s.target_url, CAST(s.seq AS BIGINT) AS seq,
+    s.target_url NOT IN (SELECT target_url FROM audit_cat) AS unknown_target,
+    s.source_url = s.target_url AS self_link,
+    row_number() OVER (PARTITION BY s.source_url, s.target_url ORDER BY s.seq, s.anchor_text) > 1 AS duplicate_target,
+    NOT (CASE WHEN {py_strip(collapse_ws("coalesce(s.anchor_text, '')"))} = '' THEN 0
+              ELSE len(string_split({py_strip(collapse_ws("coalesce(s.anchor_text, '')"))}, ' ')) END
+         BETWEEN 2 AND 6) AS bad_length,
+    (coalesce(s.anchor_text, '') = '' OR NOT coalesce(strpos(a.content, coalesce(s.anchor_text, '')) > 0, false)) AS not_verbatim,
+    row_number() OVER (PARTITION BY s.source_url ORDER BY s.seq, s.target_url, s.anchor_text) > 5 AS over_cap
+  FROM AUDIT_INPUT s LEFT JOIN audit_src a ON a.source_url = s.source_url
+)"""
+
+_FLAGS = ["unknown_target", "self_link", "duplicate_target", "bad_length", "not_verbatim", "over_cap"]
+_TOTALS = ("SELECT count(*) AS suggestions, count(DISTINCT source_url) AS sources, "
+           + ", ".join(f"CAST(sum(CAST({f} AS INTEGER)) AS BIGINT) AS {f}" for f in _FLAGS)
+           + ", CAST(sum(CAST(" + " OR ".join(_FLAGS) + " AS INTEGER)) AS BIGINT) AS any_violation FROM audit")
+
+_ORDERED = """
+ordered AS (
+  SELECT page_id, url, row_number() OVER (ORDER BY page_id) AS page_no, count(*) OVER () AS total_pages
+  FROM corpus
+)"""
+
+_BLOCK = ("CAST(page_no AS VARCHAR) || '. URL: ' || url || chr(10) || '   H1: ' || h1 || chr(10) "
+          "|| '   Meta Title: ' || meta_title || chr(10) || chr(10)")
+
+_ENTITY_LIST = f"""
+SELECT page_id, CAST(count(entity) AS BIGINT) AS n_entities,
+       coalesce(string_agg(entity, ' | ' ORDER BY fpos), '') AS entities
+FROM (
+  SELECT page_id, 1 AS fpos, {url_entity('url')} AS entity FROM corpus_read
+  UNION ALL SELECT page_id, 2, {h1_entity("coalesce(h1, '')")} FROM corpus_read
+  UNION ALL SELECT page_id, 3, {title_entity("coalesce(meta_title, '')")} FROM corpus_read
+) GROUP BY page_id"""
+
+ORACLE = {
+    "corpus_from_html": _w(*_C, body="SELECT * FROM corpus"),
+    "corpus_scan": _w(*_CR, body="SELECT url, h1, meta_title, content FROM corpus_read"),
+    "null_markers": _w(*_CR, body="SELECT page_id, h1, meta_title FROM corpus_read"),
+    "suggestions_reload": _w(*_C, *_LS, body=f"SELECT source_url, anchor_text, target_url, entity_match "
+                                              f"FROM ({_link_sugg()})"),
+    "resume_append": _w(*_C, *_LS, body=_link_sugg()),
+    "job_records": _w(RUN_EVENTS, JOBS, body="SELECT job_id, status, total_pages, current_page FROM jobs"),
+    "blank_fill": _w(*_CR, body=f"SELECT page_id, {_BF}, coalesce(content, '') AS content FROM corpus_read"),
+    "url_entity": _w(*_CR, body=f"SELECT page_id, entity FROM (SELECT page_id, {url_entity('url')} AS entity "
+                                 f"FROM corpus_read) WHERE entity IS NOT NULL"),
+    "h1_entity": _w(*_CR, body=f"SELECT page_id, entity FROM (SELECT page_id, "
+                                f"{h1_entity('coalesce(h1, chr(0))'.replace('chr(0)', chr(39) * 2))} AS entity "
+                                f"FROM corpus_read) WHERE entity IS NOT NULL"),
+    "title_entity": _w(*_CR, body=f"SELECT page_id, entity FROM (SELECT page_id, "
+                                   f"{title_entity('coalesce(meta_title, ' + chr(39) * 2 + ')')} AS entity "
+                                   f"FROM corpus_read) WHERE entity IS NOT NULL"),
+    "entity_list": _w(*_CR, body=_ENTITY_LIST),
+    "entity_rows": _w(*_CR, entities_cte("corpus_read", "ents"),
+                      body="SELECT page_id, CAST(pos AS BIGINT) AS pos, origin, entity FROM ents"),
+    "catalogue_rows": _w(*_CR, body=f"SELECT row_number() OVER (ORDER BY page_id) AS page_no, url, {_BF} "
+                                     f"FROM corpus_read"),
+    "catalogue_blocks": _w(*_CR, body=f"SELECT page_no, {_BLOCK} AS block FROM (SELECT row_number() OVER "
+                                       f"(ORDER BY page_id) AS page_no, url, {_BF} FROM corpus_read)"),
+    "link_requests": _w(*_C, *link_ctes("corpus"), body=f"""
+SELECT c.url AS source_url, coalesce(c.h1, '') AS h1, coalesce(c.meta_title, '') AS meta_title,
+       CAST(length(coalesce(c.content, '')) AS BIGINT) AS content_chars,
+       CAST(coalesce(r.n_candidates, 0) AS BIGINT) AS n_candidates, coalesce(r.candidates, '') AS candidates,
+       CAST(5 AS BIGINT) AS k
+FROM corpus c LEFT JOIN (
+  SELECT source_id, count(*) AS n_candidates, string_agg(target_url, chr(10) ORDER BY rank) AS candidates
+  FROM ranked WHERE rank <= 10 GROUP BY source_id) r ON r.source_id = c.page_id"""),
+    "content_head_words": f"SELECT doc_id, array_to_string(list_slice({tokens('text')}, 1, 500), ' ') AS head "
+                          f"FROM documents",
+    "content_head_chars": "SELECT doc_id, left(text, 500) AS head FROM documents",
+    "remaining_pages": _w(*_C, _ORDERED, body="SELECT page_no, url FROM ordered WHERE page_no > floor(total_pages / 2)"),
+    "progress_series": _w(*_C, _ORDERED, body="SELECT page_no AS current_page, total_pages FROM ordered "
+                                               "WHERE page_no > floor(total_pages / 2)"),
+    "expired_jobs": _w(RUN_EVENTS, JOBS, body="SELECT job_id, created_at FROM jobs WHERE created_at < "
+                                               "TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY"),
+    "active_jobs": _w(RUN_EVENTS, JOBS, body="SELECT job_id, status FROM jobs WHERE status IN ('running', 'paused')"),
+    "terminal_jobs": _w(RUN_EVENTS, JOBS, body="SELECT job_id, status FROM jobs "
+                                                "WHERE status IN ('completed', 'failed', 'stopped')"),
+    "response_parse": _w(*_C, SUGGESTIONS, RESPONSES, RESPONSE_PARSE, body="""
+SELECT source_url, parse_status,
+       CASE WHEN json_type(root) = 'ARRAY' THEN CAST(json_array_length(root) AS BIGINT) END AS n_items
+FROM parsed"""),
+    "response_items": _w(*_C, SUGGESTIONS, RESPONSES, RESPONSE_PARSE,
+                         body="SELECT source_url, CAST(pos AS BIGINT) AS pos FROM r_valid"),
+    "response_suggestions": _w(*_C, SUGGESTIONS, RESPONSES, RESPONSE_PARSE, body="""
+SELECT source_url, json_extract_string(el, '$.anchor_text') AS anchor_text,
+       json_extract_string(el, '$.target_url') AS target_url,
+       json_extract_string(el, '$.entity_match') AS entity_match, CAST(pos AS BIGINT) AS item_pos
+FROM (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY pos) AS rn FROM r_valid) WHERE rn <= 5"""),
+    "response_outcomes": _w(*_C, SUGGESTIONS, RESPONSES, RESPONSE_PARSE,
+                            body="SELECT parse_status, count(*) AS responses FROM parsed GROUP BY parse_status"),
+    "phrase_links": _w(*_C, *_LS, body="SELECT source_id, target_id, CAST(n AS BIGINT) AS n, gram, "
+                                        "CAST(df AS BIGINT) AS df, CAST(pos AS BIGINT) AS start_pos FROM matches"),
+    "one_link_per_target": _w(*_C, *_LS, body="SELECT source_id, target_id, CAST(n AS BIGINT) AS n, "
+                                               "CAST(df AS BIGINT) AS df, CAST(pos AS BIGINT) AS start_pos, gram FROM pairs"),
+    "near_duplicate_pairs": _w(*_C, *_LS, body="SELECT source_id, target_id, CAST(inter AS BIGINT) AS inter, "
+                                                "CAST(uni AS BIGINT) AS uni FROM dups"),
+    "link_priority": _w(*_C, *_LS, body="""
+SELECT source_id, target_id, CAST(CASE WHEN s_silo = t_silo AND t_depth < s_depth THEN 2
+                                       WHEN s_silo = t_silo THEN 1 ELSE 0 END AS BIGINT) AS priority FROM pairs"""),
+    "top_k_links": _w(*_C, *_LS, body="SELECT source_id, target_id, rank FROM ranked WHERE rank <= 3"),
+    "link_suggestions": _w(*_C, *_LS, body=_link_sugg()),
+    "unknown_targets": _w(*_C, SUGGESTIONS, body="""
+SELECT source_url, anchor_text, target_url, CAST(seq AS BIGINT) AS seq FROM suggestions s
+WHERE NOT EXISTS (SELECT 1 FROM corpus c WHERE c.url = s.target_url)"""),
+    "self_links": _w(*_C, SUGGESTIONS, body="SELECT source_url, anchor_text, target_url, CAST(seq AS BIGINT) AS seq "
+                                             "FROM suggestions WHERE source_url = target_url"),
+    "anchor_verbatim": _w(*_C, SUGGESTIONS, _AUDIT_FIX.replace("AUDIT_INPUT", "suggestions"),
+                          body="SELECT source_url, anchor_text, target_url, seq, NOT not_verbatim AS anchor_verbatim FROM audit"),
+    "anchor_length": _w(*_C, SUGGESTIONS, body=f"""
+SELECT source_url, anchor_text, CAST(seq AS BIGINT) AS seq, CAST(nw AS BIGINT) AS n_words,
+       nw BETWEEN 2 AND 6 AS length_ok
+FROM (SELECT *, CASE WHEN {py_strip(collapse_ws('anchor_text'))} = '' THEN 0
+                     ELSE len(string_split({py_strip(collapse_ws('anchor_text'))}, ' ')) END AS nw FROM suggestions)"""),
+    "suggestion_audit": _w(*_C, SUGGESTIONS, _AUDIT_FIX.replace("AUDIT_INPUT", "suggestions"),
+                           body="SELECT * FROM audit"),
+    "audit_totals": _w(*_C, SUGGESTIONS, _AUDIT_FIX.replace("AUDIT_INPUT", "suggestions"), body=_TOTALS),
+    "link_audit_totals": _w(*_C, *_LS, f"link_sugg AS (SELECT source_url, anchor_text, target_url, rank AS seq "
+                                       f"FROM ({_link_sugg()}))",
+                            _AUDIT_FIX.replace("AUDIT_INPUT", "link_sugg"), body=_TOTALS),
+    "corpus_stats": _w(*_CR, body="SELECT count(*) AS total_pages, count(h1) AS pages_with_h1, "
+                                   "count(meta_title) AS pages_with_title FROM corpus_read"),
+    "suggestion_stats": _w(*_C, *_LS, f"ls AS ({_link_sugg()})", body="""
+SELECT total_suggestions, pages_with_suggestions,
+       coalesce(CAST(total_suggestions AS DOUBLE) / nullif(pages_with_suggestions, 0), 0.0) AS avg_per_page
+FROM (SELECT count(*) AS total_suggestions, count(DISTINCT source_url) AS pages_with_suggestions FROM ls)"""),
+    "job_progress": _w(RUN_EVENTS, JOBS, body="SELECT job_id, current_page, total_pages, progress FROM jobs"),
+    "page_ordinal": _w(*_C, body="SELECT page_id, row_number() OVER (ORDER BY page_id) AS page_no FROM corpus"),
+    "job_latest": _w(RUN_EVENTS, JOBS, body="SELECT * FROM job_latest"),
+    "job_state_fold": _w(RUN_EVENTS, JOBS, body="SELECT * FROM job_state"),
+    "job_status_spans": _w(RUN_EVENTS, body="""
+SELECT job_id, event_id, cmd, lag(cmd) OVER w AS prev_cmd,
+       epoch_us(lead(ts) OVER w) - epoch_us(ts) AS micros_to_next
+FROM run_events WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)"""),
+    "job_listing": _w(RUN_EVENTS, JOBS, body="""
+SELECT row_number() OVER (ORDER BY created_at DESC, job_id ASC) AS list_pos, job_id, status,
+       replace(left(CAST(created_at AS VARCHAR), 19), 'T', ' ') AS created
+FROM jobs"""),
+    "corpus_preview": _w(*_CR, body=f"SELECT row_number() OVER (ORDER BY page_id) AS page_no, url, {_BF} "
+                                     f"FROM corpus_read ORDER BY page_id LIMIT 10"),
+    "suggestion_preview": _w(*_C, *_LS, body=f"""
+SELECT *, row_number() OVER (ORDER BY source_url, rank) AS preview_pos
+FROM ({_link_sugg()}) ORDER BY source_url, rank LIMIT 20"""),
+    "stream_link_suggestions": _w(*_C, *_LS, body=_link_sugg()),
+    "stream_corpus_stats": _w(*_CR, body="SELECT count(*) AS total_pages, count(h1) AS pages_with_h1, "
+                                          "count(meta_title) AS pages_with_title FROM corpus_read"),
+    "stream_job_state": _w(RUN_EVENTS, JOBS, body="SELECT job_id, status, accepted, ignored, n_events FROM job_state"),
+}
+
+
+def _word_rows(src: str, text: str) -> str:
+    return (f"SELECT page_id, unnest(list_filter(list_transform({tokens(text)}, lambda t: {norm('t')}), "
+            f"lambda w: w <> '')) AS w FROM {src}")
+
+
+ORACLE["topic_relevance"] = _w(*_C, *_LS, f"""
+tr_words AS ({_word_rows('corpus', "coalesce(content, '')")}),
+tr_idf AS (
+  SELECT w, ln(CAST((SELECT count(*) FROM corpus) AS DOUBLE) / CAST(df AS DOUBLE)) AS idf
+  FROM (SELECT w, count(DISTINCT page_id) AS df FROM tr_words GROUP BY w)
+),
+tr_sv AS (SELECT page_id, w, count(*) * any_value(idf) AS x FROM tr_words JOIN tr_idf USING (w) GROUP BY page_id, w),
+tr_ew AS ({_word_rows('l_ents', 'entity')}),
+tr_tv AS (SELECT page_id, w, count(*) * any_value(idf) AS x FROM tr_ew JOIN tr_idf USING (w) GROUP BY page_id, w),
+tr_ns AS (SELECT page_id, sqrt(sum(x * x)) AS ns FROM tr_sv GROUP BY page_id),
+tr_nt AS (SELECT page_id, sqrt(sum(x * x)) AS nt FROM tr_tv GROUP BY page_id),
+tr_keys AS (SELECT DISTINCT source_id, target_id, source_url, target_url FROM ranked WHERE rank <= 5),
+tr_dot AS (
+  SELECT k.source_id, k.target_id, sum(s.x * t.x) AS dot
+  FROM tr_keys k JOIN tr_tv t ON t.page_id = k.target_id
+  JOIN tr_sv s ON s.page_id = k.source_id AND s.w = t.w
+  GROUP BY k.source_id, k.target_id
+)""", body="""
+SELECT k.source_url, k.target_url,
+       round(CASE WHEN ns > 0 AND nt > 0 THEN coalesce(d.dot, 0.0) / (ns * nt) ELSE 0.0 END, 6) AS relevance
+FROM tr_keys k
+LEFT JOIN tr_dot d ON d.source_id = k.source_id AND d.target_id = k.target_id
+LEFT JOIN tr_ns a ON a.page_id = k.source_id
+LEFT JOIN tr_nt b ON b.page_id = k.target_id""")

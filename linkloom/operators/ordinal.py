@@ -7,7 +7,7 @@ bits, row index in the lower 33 bits). Per-partition counts - one row per
 partition, so their size is bounded by the partition count - give each
 partition's offset. The order keys must be unique (include an id), which
 also makes the numbering reproducible when a task is re-run. The numbered
-rows are checkpointed, which also cuts the lineage for later joins.
+rows are written to the checkpoint folder, which also cuts the lineage.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.plans.materialize import materialize
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -30,9 +32,9 @@ def with_ordinal(df: DataFrame, order_cols: list, name: str = "ordinal",
     ranged = ranged.withColumn("_part", F.shiftright(F.col("_mid"), 33)) \
                    .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
     # Partition numbering is only stable within one evaluation: materialize
-    # it once (reliable checkpoint in spark.checkpoint.dir) so the counts and
+    # it once (a table in spark.checkpoint.dir) so the counts and
     # the numbering below read the same rows, even after a lost executor.
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged, "ordinal")
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select(
         "_part",

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import patterns as P
 from linkloom.functions.text import normalize_token
+from linkloom.plans.materialize import materialize
 from linkloom.sources.files import null_markers
 from linkloom.sources.html import corpus_from_html, corpus_with_gaps
 from linkloom.sources.tables import read_table
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_from_html(read_table(spark, sf_dir, "pages"))
+    """Pages -> corpus, extracted once and written to the checkpoint folder
+    (later plans read it several times; the HTML regexes run once)."""
+    return materialize(corpus_from_html(read_table(spark, sf_dir, "pages")), "corpus")
 
 
 def corpus_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.text import raw_tokens, shingle_words
 from linkloom.operators.entities import blank_fill, entity_rows
+from linkloom.plans.materialize import materialize
 
 
 def _word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -20,20 +21,20 @@ def _word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return w.select("page_id", F.explode("words").alias("w"))
 
 
-def idf_table(corpus: DataFrame) -> DataFrame:
-    """``(w, idf)`` with ``idf = ln(N / df)`` over page contents."""
-    c = blank_fill(corpus)
-    n_pages = c.agg(F.count(F.lit(1)).alias("n"))
-    dfw = _word_rows(c, "page_id", "content").distinct().groupBy("w").agg(
-        F.count(F.lit(1)).alias("df"))
-    # n_pages is a single row: a broadcast of a proven size.
-    return dfw.crossJoin(F.broadcast(n_pages)).select(
-        "w", F.log(F.col("n") / F.col("df")).alias("idf"))
+def content_tf(corpus: DataFrame) -> DataFrame:
+    """``(page_id, w, tf)``: term counts of page contents (partial aggregate)."""
+    return _word_rows(blank_fill(corpus), "page_id", "content").groupBy("page_id", "w").agg(
+        F.count(F.lit(1)).alias("tf"))
 
 
-def content_vectors(corpus: DataFrame, idf: DataFrame) -> DataFrame:
-    tf = _word_rows(blank_fill(corpus), "page_id", "content").groupBy("page_id", "w").agg(
-        F.count(F.lit(1)).alias("tf"))
+def idf_table(tf: DataFrame, n_pages: int) -> DataFrame:
+    """``(w, idf)`` with ``idf = ln(N / df)``; ``df`` counts the pages whose
+    content holds the word (a partial count, so frequent words do not skew)."""
+    return tf.groupBy("w").agg(F.count(F.lit(1)).alias("df")).select(
+        "w", F.log(F.lit(float(n_pages)) / F.col("df")).alias("idf"))
+
+
+def content_vectors(tf: DataFrame, idf: DataFrame) -> DataFrame:
     return tf.join(idf, "w").select("page_id", "w", (F.col("tf") * F.col("idf")).alias("x"))
 
 
@@ -47,8 +48,10 @@ def topic_vectors(corpus: DataFrame, idf: DataFrame) -> DataFrame:
 def topic_relevance(pairs: DataFrame, corpus: DataFrame, digits: int = 6) -> DataFrame:
     """``pairs(source_id, target_id, ...)`` -> same rows plus ``relevance``
     (cosine, rounded to ``digits``; 0 when either vector is empty)."""
-    idf = idf_table(corpus)
-    sv = content_vectors(corpus, idf)
+    n_pages = corpus.count()            # a scalar, passed as a literal
+    tf = materialize(content_tf(corpus), "content-tf")   # read twice below
+    idf = idf_table(tf, n_pages)
+    sv = content_vectors(tf, idf)
     tv = topic_vectors(corpus, idf)
     s_norm = sv.groupBy("page_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("ns"))
     t_norm = tv.groupBy("page_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nt"))

@@ -64,9 +64,8 @@ def q_resume_append(spark, sf):
     corpus = FX.corpus(spark, sf)
     path = scratch(spark, "results")
     ordered = with_ordinal(corpus.select("page_id", "url"), ["page_id"], "page_no")
-    half = ordered.agg(F.floor(F.count(F.lit(1)) / 2).alias("h"))
-    first = ordered.crossJoin(F.broadcast(half)).where(F.col("page_no") <= F.col("h")) \
-                   .select(F.col("url").alias("source_url"))
+    half = corpus.count() // 2
+    first = ordered.where(F.col("page_no") <= F.lit(half)).select(F.col("url").alias("source_url"))
     sugg = L.link_suggestions(corpus)
     FI.append_results(sugg.join(first, "source_url", "left_semi"), "run1", path)
     stored = spark.read.parquet(path)
@@ -168,8 +167,7 @@ def q_content_head_chars(spark, sf):
 def _ordered_pages(spark, sf):
     c = FX.corpus(spark, sf).select("page_id", "url")
     o = with_ordinal(c, ["page_id"], "page_no")
-    total = c.agg(F.count(F.lit(1)).alias("total_pages"))   # one row
-    return o.crossJoin(F.broadcast(total))
+    return o.withColumn("total_pages", F.lit(c.count()).cast("long"))
 
 
 def q_remaining_pages(spark, sf):

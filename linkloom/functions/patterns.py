@@ -18,6 +18,7 @@ ASCII_SPACE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 
 # Word characters: letters and digits of any script.
 NON_WORD = "[^\\p{L}\\p{N}]"
+NON_WORD_OR_SPACE = "[^\\p{L}\\p{N} ]"
 OUTER_NON_WORD = "\\A[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+\\z"
 
 # --- fixed values: HTML extraction ---

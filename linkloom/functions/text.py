@@ -56,13 +56,27 @@ def word_count(text: Column) -> Column:
 
 
 def token_arrays(raw: Column) -> tuple[Column, Column]:
-    """Per-token arrays used by :func:`phrase_grams`: normalized words and
-    clause-end flags."""
+    """Per-token arrays: normalized words and clause-end flags (lambda form,
+    for arbitrary token arrays; see :func:`text_token_arrays`)."""
     norm = F.transform(raw, normalize_token)
     brk = F.transform(raw, lambda t: F.substring(t, -1, 1).isin(P.CLAUSE_END_CHARS))
     return norm, brk
 
 
+def text_token_arrays(text: Column) -> tuple[Column, Column, Column]:
+    """``(raw, norm, last)`` token arrays of a text without per-token lambdas.
+
+    The text is collapsed to single spaces first, so normalizing the whole
+    string (keeping the spaces) and splitting gives exactly one normalized
+    word per raw token; likewise replacing every token by its last character.
+    Whole-string regexes run in generated code; per-token lambdas do not."""
+    t = py_strip(collapse_ws(text))
+    raw = F.split(t, " ")
+    norm = F.split(F.regexp_replace(F.lower(t), P.NON_WORD_OR_SPACE, ""), " ")
+    last = F.split(F.regexp_replace(t, "[^ ]*([^ ])", "$1"), " ")
+    return raw, norm, last
+
+
 def _shifted(arr: Column, k: int, prefix: str) -> list[Column]:
     """``arr`` shifted left by 0..k-1 places, for ``arrays_zip``.
 
@@ -109,9 +123,10 @@ def phrase_grams(raw: Column, norm: Column, brk: Column, min_n: int = 2, max_n:
     return F.flatten(F.transform(windows, per_start))
 
 
-def shingle_words(raw: Column) -> Column:
-    """Non-empty normalized words, the input of :func:`shingles`."""
-    return F.filter(F.transform(raw, normalize_token), lambda w: w != F.lit(""))
+def shingle_words(text: Column) -> Column:
+    """Non-empty normalized words of a text, the input of :func:`shingles`."""
+    _, norm, _ = text_token_arrays(text)
+    return F.array_remove(norm, "")
 
 
 def shingles(words: Column, width: int = 5) -> Column:

@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import raw_tokens, shingle_words
+from linkloom.functions.text import shingle_words
 from linkloom.operators.entities import blank_fill, entity_rows
 from linkloom.plans.materialize import materialize
 
 
 def _word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    w = df.select(F.col(id_col).alias("page_id"),
-                  shingle_words(raw_tokens(F.col(text_col))).alias("words"))
+    w = df.select(F.col(id_col).alias("page_id"), shingle_words(F.col(text_col)).alias("words"))
     return w.select("page_id", F.explode("words").alias("w"))
 
 

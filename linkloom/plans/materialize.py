@@ -9,6 +9,8 @@ executor recomputes from the table instead of from the raw input.
 from __future__ import annotations
 
 import os
+import sys
+import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -19,5 +21,8 @@ from linkloom.session import checkpoint_dir
 def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    t = time.time()
     df.write.mode("overwrite").parquet(path)
+    if os.environ.get("LINKLOOM_TRACE"):
+        print(f"[materialize] {name}: {time.time() - t:.2f}s", file=sys.stderr, flush=True)
     return spark.read.parquet(path)

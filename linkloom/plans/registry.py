@@ -83,11 +83,10 @@ def q_job_records(spark, sf):
         F.create_map(F.lit("max_suggestions_per_page"), F.lit("5"),
                      F.lit("api_key"), F.lit("secret")).alias("config"))
     FI.write_job_records(jobs, path)
-    # A zero-byte file and a half-written record, as a crash would leave them.
-    os.makedirs(path, exist_ok=True)
-    open(os.path.join(path, "job_empty.json"), "w").close()
-    with open(os.path.join(path, "job_broken.json"), "w") as f:
-        f.write('{"incomplete": ')
+    # A zero-byte file and a half-written record, as a crash would leave them
+    # (written through the Hadoop FileSystem, so any shared folder works).
+    FI.write_raw_file(spark, f"{path}/job_empty.json", b"")
+    FI.write_raw_file(spark, f"{path}/job_broken.json", b'{"incomplete": ')
     return FI.read_job_records(spark, path).select("job_id", "status", "total_pages",
                                                    "current_page")
 

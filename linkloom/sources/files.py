@@ -121,6 +121,18 @@ def write_job_records(jobs: DataFrame, path: str) -> None:
     out.write.mode("overwrite").json(path)
 
 
+def write_raw_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write bytes to ``path`` on whatever file system the path names."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(jpath, True)
+    try:
+        if data:
+            out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def read_job_records(spark: SparkSession, path: str) -> DataFrame:
     """Job records from a folder of ``*.json`` files. Empty files give
     no rows, unreadable records are dropped, ``.tmp`` files are ignored and

@@ -56,8 +56,9 @@ def word_count(text: Column) -> Column:
 
 
 def token_arrays(raw: Column) -> tuple[Column, Column]:
-    """Per-token arrays: normalized words and clause-end flags (lambda form,
-    for arbitrary token arrays; see :func:`text_token_arrays`)."""
+    """Per-token arrays of a token array column: normalized words and
+    clause-end flags. ``raw`` must be a column reference (a projected column),
+    so the lambdas read a materialized array."""
     norm = F.transform(raw, normalize_token)
     brk = F.transform(raw, lambda t: F.substring(t, -1, 1).isin(P.CLAUSE_END_CHARS))
     return norm, brk

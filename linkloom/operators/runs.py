@@ -157,8 +157,8 @@ def job_status_spans(run_events: DataFrame) -> DataFrame:
     out = (ev.join(prev, (F.col("p_seq") == F.col("seq") - 1) & (F.col("p_job") == F.col("job_id")), "left")
              .join(nxt, (F.col("n_seq") == F.col("seq") + 1) & (F.col("n_job") == F.col("job_id")), "left"))
     return out.select("job_id", "event_id", "cmd", "prev_cmd",
-                      (F.unix_micros(F.col("next_ts").cast("timestamp"))
-                       - F.unix_micros(F.col("ts").cast("timestamp"))).alias("micros_to_next"))
+                      F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("next_ts"))
+                       .alias("micros_to_next"))
 
 
 def jobs_table(run_events: DataFrame) -> DataFrame:

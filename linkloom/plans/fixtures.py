@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.functions import patterns as P
 from linkloom.functions.text import normalize_token
 from linkloom.plans.materialize import materialize
 from linkloom.sources.files import null_markers
@@ -123,4 +122,4 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["corpus", "corpus_gaps", "corpus_read", "suggestions", "responses",
-           "run_events", "documents", "P"]
+           "run_events", "documents"]

@@ -10,7 +10,13 @@ from pyspark.sql import SparkSession
 # Settings every plan in this package assumes. AQE re-plans joins and
 # coalesces/splits shuffle partitions at run time; ANSI stays on (the
 # Spark 4 default), so the code uses try_* functions where a value may fail.
+# Static size estimates do not grow through explode, so the planner never
+# broadcasts on an estimate: broadcasts happen either on an explicit hint
+# after measuring the table (linking.checked_broadcast) or when AQE sees the
+# real, materialized size of a shuffle below the runtime threshold.
 _BASE_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -29,3 +29,13 @@ def suggestion_stats(sugg: DataFrame, approx: bool = False) -> DataFrame:
 def progress_ratio(current, total):
     """``current / max(1, total)``."""
     return current.cast("double") / F.greatest(F.lit(1), total).cast("double")
+
+
+def progress_series(ordered: DataFrame, offset: int, total: int | None = None,
+                    ordinal_col: str = "page_no") -> DataFrame:
+    """Progress reported while resuming after ``offset`` pages:
+    ``(current_page, total_pages)`` for every page after the checkpoint,
+    against the original total (``ordered`` carries a 1-based ordinal)."""
+    tot = F.lit(total).cast("long") if total is not None else F.lit(ordered.count()).cast("long")
+    return ordered.where(F.col(ordinal_col) > F.lit(offset)).select(
+        F.col(ordinal_col).cast("long").alias("current_page"), tot.alias("total_pages"))

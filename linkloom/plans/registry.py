@@ -177,9 +177,9 @@ def q_remaining_pages(spark, sf):
 
 def q_progress_series(spark, sf):
     """Progress reported while resuming from that checkpoint."""
-    o = _ordered_pages(spark, sf)
-    return o.where(F.col("page_no") > F.floor(F.col("total_pages") / 2)).select(
-        F.col("page_no").alias("current_page"), F.col("total_pages").cast("long").alias("total_pages"))
+    c = FX.corpus(spark, sf).select("page_id")
+    total = c.count()
+    return ST.progress_series(with_ordinal(c, ["page_id"], "page_no"), total // 2, total)
 
 
 def _jobs(spark, sf):

@@ -133,11 +133,14 @@ def write_raw_file(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
-def read_job_records(spark: SparkSession, path: str) -> DataFrame:
+def read_job_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Job records from a folder of ``*.json`` files. Empty files give
     no rows, unreadable records are dropped, ``.tmp`` files are ignored and
-    ``config.api_key`` is removed."""
+    ``config.api_key`` is removed. ``multi_line=True`` reads one (indented)
+    JSON document per file, the reference's own job-file layout; the default
+    reads JSON lines as written by :func:`write_job_records`."""
     df = (spark.read.schema(JOB_SCHEMA).option("mode", "PERMISSIVE")
+          .option("multiLine", "true" if multi_line else "false")
           .option("columnNameOfCorruptRecord", "_corrupt_record")
           .option("pathGlobFilter", "*.json").json(path))
     df = df.where(F.col("_corrupt_record").isNull() & F.col("job_id").isNotNull())

@@ -51,12 +51,20 @@ def null_markers(df: DataFrame, cols: list[str]) -> DataFrame:
                        else F.col(c) for c in df.columns])
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, page_numbers: bool = False) -> DataFrame:
     """Read a page CSV (columns by name, any order, extra columns
     allowed, everything text), check the four required columns, map missing
     markers to NULL. Returns ``(url, h1, meta_title, content)`` plus the
-    file's other columns."""
+    file's other columns.
+
+    ``page_numbers=True`` adds ``page_no``: 1-based position in input order
+    (files by path, rows in file order). Multi-line CSV files are never
+    split, so a per-partition row id orders the rows of one file; the W1
+    ordinal then numbers them without a single-task window."""
     raw = spark.read.options(**_CSV_READ).csv(path)
+    if page_numbers:
+        raw = raw.select("*", F.col("_metadata.file_path").alias("_file"),
+                         F.monotonically_increasing_id().alias("_row"))
     alias = {"Content (First 500 chars)": "Content"}
     for old, new in alias.items():
         if old in raw.columns and new not in raw.columns:
@@ -66,7 +74,11 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
         raise MissingColumnsError(missing)
     names = dict(zip(P.CORPUS_HEADERS, ["url", "h1", "meta_title", "content"]))
     out = raw.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in raw.columns])
-    return null_markers(out, list(names.values()))
+    out = null_markers(out, list(names.values()))
+    if page_numbers:
+        from linkloom.operators.ordinal import with_ordinal
+        out = with_ordinal(out, ["_file", "_row"], "page_no").drop("_file", "_row")
+    return out
 
 
 def write_corpus(df: DataFrame, path: str, single_file: bool = False) -> None:

@@ -257,6 +257,10 @@ def q_top_k_links(spark, sf):
     return r.select("source_id", "target_id", F.col("rank").cast("long").alias("rank"))
 
 
+def q_link_run_summary(spark, sf):
+    return L.run_summary(FX.corpus(spark, sf))
+
+
 def q_link_suggestions(spark, sf):
     return L.link_suggestions(FX.corpus(spark, sf))
 

@@ -542,3 +542,14 @@ FROM tr_keys k
 LEFT JOIN tr_dot d ON d.source_id = k.source_id AND d.target_id = k.target_id
 LEFT JOIN tr_ns a ON a.page_id = k.source_id
 LEFT JOIN tr_nt b ON b.page_id = k.target_id""")
+
+
+ORACLE["link_run_summary"] = _w(*_C, *_LS, f"ls AS ({_link_sugg()})", body="""
+SELECT 'pages' AS metric, CAST(count(*) AS BIGINT) AS value FROM corpus
+UNION ALL SELECT 'target_phrases', count(*) FROM tphr
+UNION ALL SELECT 'distinct_phrases', count(*) FROM pdf
+UNION ALL SELECT 'generic_phrases_dropped', count(*) FROM pdf WHERE df > 20
+UNION ALL SELECT 'pages_without_topic_phrase', count(*) FROM corpus
+          WHERE page_id NOT IN (SELECT DISTINCT target_id FROM tphr)
+UNION ALL SELECT 'links', count(*) FROM ls
+UNION ALL SELECT 'linked_sources', count(DISTINCT source_url) FROM ls""")

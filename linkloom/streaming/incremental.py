@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators import runs as RU
-from linkloom.operators.linking import link_suggestions
+from linkloom.operators.linking import link_suggestions, prepare_targets
 from linkloom.operators.stats import corpus_stats
 from linkloom.session import checkpoint_dir
 from linkloom.sources.files import null_markers
@@ -45,10 +45,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 # ------------------------------------------------------------------ T1
 def link_stream(spark: SparkSession, pages_dir: str, catalogue: DataFrame, out_dir: str,
                 ckpt: str, schema) -> None:
-    """Suggestions for newly arrived pages against the full catalogue (C4)."""
+    """Suggestions for newly arrived pages against the full catalogue (C4).
+    The catalogue side (measured phrase table, prefixes, shingle sets) is
+    built once here; each micro-batch only explodes its own pages."""
+    prepared = prepare_targets(catalogue)
+
     def process(batch: DataFrame, batch_id: int) -> None:
         corpus = corpus_from_html(batch)
-        sugg = link_suggestions(corpus, targets=catalogue)
+        sugg = link_suggestions(corpus, prepared=prepared)
         sugg.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
     stream = spark.readStream.schema(schema).parquet(pages_dir)
     _run_available(stream, process, ckpt)

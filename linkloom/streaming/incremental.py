@@ -48,7 +48,7 @@ def link_stream(spark: SparkSession, pages_dir: str, catalogue: DataFrame, out_d
     """Suggestions for newly arrived pages against the full catalogue (C4).
     The catalogue side (measured phrase table, prefixes, shingle sets) is
     built once here; each micro-batch only explodes its own pages."""
-    prepared = prepare_targets(catalogue)
+    prepared = prepare_targets(catalogue, reuse=True)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         corpus = corpus_from_html(batch)

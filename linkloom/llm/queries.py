@@ -1,21 +1,103 @@
-"""Registered queries of the training-data operators: name -> (spark, sf_dir) -> DataFrame."""
+"""Registered queries of the training-data operators: name -> (spark, sf_dir) -> DataFrame.
+
+Each applies one operator with its production parameters to its whole table; the digest
+columns are derived here from the operator's own output.
+"""
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkloom.llm import ngram_join
+from linkloom.llm import bpe, mixing, ngram_join, quality_rules, sharding, token_files
+from linkloom.session import checkpoint_dir
+
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+SHARDS = 16
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.bpe_encode(_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return bpe.bpe_decode(encoded, WORD_TOKENIZER).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sharding.with_size(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "size", "key", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"))
+    return sharding.shard_records(docs, SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = os.path.join(checkpoint_dir(spark), f"token-files-{uuid.uuid4().hex[:12]}")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, BYTE_TOKENIZER)
+    return token_files.read_token_files(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
+    op3_bpe_round_trip,
+    op4_sampled_splitter_shards,
+    op5_quality_rules,
     op6_ngram_jaccard_join,
+    op7_token_files,
+    op9_mix_sources,
 )}
-ORACLE: dict[str, str] = {}
+
+# The mix in SQL: shares by sources in order of size by weight, then a running sum by position.
+_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS pos
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+r AS (SELECT *,
+        sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY source_size::DOUBLE / weight, source
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+        sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, source
+            ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others
+      FROM w),
+c AS (SELECT *, weight * rest > 3 * source_size * others AS over FROM r),
+t AS (SELECT source, source_size, CASE WHEN over THEN (3 * source_size)::DOUBLE
+        ELSE (weight * (sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (WHERE over) OVER (), 0)))::DOUBLE
+             / sum(weight) FILTER (WHERE NOT over) OVER () END AS target
+      FROM c),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM t),
+g AS (SELECT source, pos, sum(size)::BIGINT AS words FROM d GROUP BY source, pos),
+m AS (SELECT source, pos, words, sum(words) OVER (PARTITION BY source ORDER BY pos) AS upto FROM g)
+SELECT d.doc_id, d.size, p.source_size, p.target,
+       (d.size * (p.passes + CASE WHEN 2 * m.upto - m.words <= 2 * (p.target - p.passes * p.source_size)
+                                  THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+       JOIN m ON d.source IS NOT DISTINCT FROM m.source AND d.pos = m.pos
+"""
+
+ORACLE: dict[str, str] = {
+    "op9_mix_sources": _MIX,
+}

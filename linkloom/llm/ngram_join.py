@@ -44,7 +44,7 @@ BLOCK_ROWS = 512               # rows per row block of the product
 FREQUENT = 24                  # entries from which a column is multiplied as dense strip
 STRIP = 1024                   # dense columns multiplied at once
 CELLS = 4_000_000              # cells counted at once
-PACK_BYTES = 8 << 20           # text packed into one row per column block
+PACK_BYTES = 3 << 20           # text packed into one row per column block
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import bpe, mixing, ngram_join, quality_rules, sharding, token_files
+from linkloom.llm import (
+    ann,
+    bpe,
+    language_id,
+    mixing,
+    ngram_join,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    token_files,
+    url_filter,
+)
 from linkloom.session import checkpoint_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +36,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(_table(spark, sf_dir, "pages"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.bpe_encode(_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
     return bpe.bpe_decode(encoded, WORD_TOKENIZER).select(
@@ -56,17 +75,33 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(docs.where(~fold))
+    return language_id.identify(docs, model, carry=["doc_id"]).select(
+        "doc_id", fold.alias("held_out"), "lang_pred", "score")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 QUERIES = {f.__name__: f for f in (
+    op1_url_filter,
+    op2_quality_classifier,
     op3_bpe_round_trip,
     op4_sampled_splitter_shards,
     op5_quality_rules,
     op6_ngram_jaccard_join,
     op7_token_files,
+    op8_language_id,
     op9_mix_sources,
+    op10_nearest_neighbours,
 )}
 
 # The mix in SQL: shares by sources in order of size by weight, then a running sum by position.

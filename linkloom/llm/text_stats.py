@@ -127,6 +127,8 @@ class Texts:
     @cached_property
     def _lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lines with a word: starts, ends (without the line feed), text of each."""
+        if not len(self.data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         feed = self.data == 0x0A
         begin = np.zeros(len(self.data) + 1, bool)
         begin[1:] = feed

@@ -55,15 +55,6 @@ def word_count(text: Column) -> Column:
     return F.when(t == F.lit(""), F.lit(0)).otherwise(F.size(F.split(t, " ")))
 
 
-def token_arrays(raw: Column) -> tuple[Column, Column]:
-    """Per-token arrays of a token array column: normalized words and
-    clause-end flags. ``raw`` must be a column reference (a projected column),
-    so the lambdas read a materialized array."""
-    norm = F.transform(raw, normalize_token)
-    brk = F.transform(raw, lambda t: F.substring(t, -1, 1).isin(P.CLAUSE_END_CHARS))
-    return norm, brk
-
-
 def text_token_arrays(text: Column) -> tuple[Column, Column, Column]:
     """``(raw, norm, last)`` token arrays of a text without per-token lambdas.
 
@@ -89,41 +80,6 @@ def _shifted(arr: Column, k: int, prefix: str) -> list[Column]:
     return [F.slice(arr, j + 1, size).alias(f"{prefix}{j}") for j in range(k)]
 
 
-def phrase_grams(raw: Column, norm: Column, brk: Column, min_n: int = 2, max_n: int = 6,
-                 with_anchor: bool = True) -> Column:
-    """All valid phrases of ``min_n``..``max_n`` consecutive tokens.
-
-    Returns ``array<struct<pos:int, n:int, gram:string[, anchor:string]>>``;
-    ``pos`` is 1-based. A phrase is valid when every token normalizes to a
-    non-empty word and no token before its last one closes a clause. ``gram``
-    is the normalized phrase (the join key); ``anchor`` the verbatim raw text
-    with outer punctuation trimmed, so it is a substring of the source text.
-    """
-    parts = [F.sequence(F.lit(1), F.greatest(F.size(raw), F.lit(1))).alias("p")]
-    parts += _shifted(norm, max_n, "w") + _shifted(brk, max_n - 1, "b")
-    if with_anchor:
-        parts += _shifted(raw, max_n, "r")
-    windows = F.arrays_zip(*parts)
-
-    def per_start(e):
-        out = []
-        ok = e["w0"].isNotNull() & (e["w0"] != F.lit(""))
-        for n in range(2, max_n + 1):
-            ok = ok & e[f"w{n - 1}"].isNotNull() & (e[f"w{n - 1}"] != F.lit("")) \
-                & ~F.coalesce(e[f"b{n - 2}"], F.lit(True))
-            if n < min_n:
-                continue
-            fields = [e["p"].alias("pos"), F.lit(n).alias("n"),
-                      F.concat_ws(" ", *[e[f"w{j}"] for j in range(n)]).alias("gram")]
-            if with_anchor:
-                fields.append(trim_outer_non_word(
-                    F.concat_ws(" ", *[e[f"r{j}"] for j in range(n)])).alias("anchor"))
-            out.append(F.when(ok, F.struct(*fields)))
-        return F.filter(F.array(*out), lambda s: s.isNotNull())
-
-    return F.flatten(F.transform(windows, per_start))
-
-
 def shingle_words(text: Column) -> Column:
     """Non-empty normalized words of a text, the input of :func:`shingles`."""
     _, norm, _ = text_token_arrays(text)
@@ -136,3 +92,10 @@ def shingles(words: Column, width: int = 5) -> Column:
                        lambda e: e[f"w{width - 1}"].isNotNull())
     return F.array_distinct(F.transform(
         windows, lambda e: F.concat_ws(" ", *[e[f"w{j}"] for j in range(width)])))
+
+
+def shingle_hashes(words: Column, width: int = 5) -> Column:
+    """64-bit hashes of the distinct ``width``-word shingles of a word array."""
+    windows = F.filter(F.arrays_zip(*_shifted(words, width, "w")),
+                       lambda e: e[f"w{width - 1}"].isNotNull())
+    return F.array_distinct(F.transform(windows, lambda e: F.xxhash64(*[e[f"w{j}"] for j in range(width)])))

@@ -18,11 +18,6 @@ def unknown_targets(sugg: DataFrame, catalogue: DataFrame) -> DataFrame:
     return sugg.join(cat, "target_url", "left_anti")
 
 
-def known_targets(sugg: DataFrame, catalogue: DataFrame) -> DataFrame:
-    cat = catalogue.select(F.col("url").alias("target_url")).distinct()
-    return sugg.join(cat, "target_url", "left_semi")
-
-
 def self_links(sugg: DataFrame) -> DataFrame:
     """L4."""
     return sugg.where(F.col("source_url") == F.col("target_url"))

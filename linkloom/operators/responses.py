@@ -8,7 +8,7 @@ failure the greedy first-``[``-to-last-``]`` span is tried the same way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import py_strip
@@ -40,30 +40,36 @@ def parse_responses(responses: DataFrame, text_col: str = "response_text") -> Da
                   .drop("_t", "_direct", "_fb"))
 
 
+def _valid_items() -> Column:
+    """Array of ``struct(pos, el)``: elements of ``root`` that are objects holding both required keys."""
+    arr = F.try_variant_get(F.col("root"), "$", "array<variant>")
+    numbered = F.transform(arr, lambda el, i: F.struct(i.alias("pos"), el.alias("el")))
+    return F.filter(numbered, lambda e: (
+        F.try_variant_get(e["el"], "$.anchor_text", "variant").isNotNull()
+        & F.try_variant_get(e["el"], "$.target_url", "variant").isNotNull()))
+
+
 def response_items(parsed: DataFrame, keep: list[str]) -> DataFrame:
     """R2: array elements that are objects holding both required keys (a
     JSON null value counts as present). A top-level object or scalar gives
     no items. ``pos`` is the 0-based element position."""
-    arr = F.try_variant_get(F.col("root"), "$", "array<variant>")
-    items = parsed.select(*keep, F.posexplode(arr).alias("pos", "el"))
-    has = (F.try_variant_get(F.col("el"), "$.anchor_text", "variant").isNotNull()
-           & F.try_variant_get(F.col("el"), "$.target_url", "variant").isNotNull())
-    return items.where(has)
-
-
-def response_suggestions(responses: DataFrame, k: int = 5,
-                         source_col: str = "source_url") -> DataFrame:
-    """Suggestion rows, first ``k`` valid items per response in order."""
-    items = response_items(parse_responses(responses), [source_col])
-    w = Window.partitionBy(source_col).orderBy("pos")
-    out = items.select(
-        F.col(source_col).alias("source_url"),
+    return parsed.select(*keep, F.inline(_valid_items()))
+
+
+def response_suggestions(responses: DataFrame, k: int = 5, source_col: str = "source_url",
+                         keep: tuple[str, ...] = ()) -> DataFrame:
+    """Suggestion rows, first ``k`` valid items of each response in order.
+
+    The cap counts inside each response's own array, so several responses of one source each give up
+    to ``k`` rows, and nothing is shuffled. ``keep``: columns that tell responses apart."""
+    items = parse_responses(responses).select(
+        F.col(source_col).alias("source_url"), *keep, F.inline(F.slice(_valid_items(), 1, k)))
+    return items.select(
+        "source_url", *keep,
         F.try_variant_get(F.col("el"), "$.anchor_text", "string").alias("anchor_text"),
         F.try_variant_get(F.col("el"), "$.target_url", "string").alias("target_url"),
         F.try_variant_get(F.col("el"), "$.entity_match", "string").alias("entity_match"),
-        F.col("pos").cast("long").alias("item_pos"),
-        F.row_number().over(w).alias("_rn"))
-    return out.where(F.col("_rn") <= k).drop("_rn")
+        F.col("pos").cast("long").alias("item_pos"))
 
 
 def response_outcomes(responses: DataFrame) -> DataFrame:

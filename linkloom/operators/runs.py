@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import patterns as P
 from linkloom.operators.ordinal import with_ordinal
 from linkloom.operators.stats import progress_ratio
+from linkloom.plans.materialize import materialize
 
 # --- fixed values: states (index 0 = job not created yet) ---
 STATES = ["none"] + P.JOB_STATUSES      # none queued running paused completed failed stopped
@@ -39,18 +40,23 @@ TRANSITIONS = {
 N_STATES = len(STATES)
 
 
-def _event_function(cmd):
-    """Transition map of one command: struct<nx: array<int>, acc: array<int>>."""
-    nx, acc = [], []
-    for s in STATES:
-        to_expr, ok_expr = F.lit(_S[s]), F.lit(0)
-        for c, moves in TRANSITIONS.items():
-            if s in moves:
-                to_expr = F.when(cmd == F.lit(c), F.lit(_S[moves[s]])).otherwise(to_expr)
-                ok_expr = F.when(cmd == F.lit(c), F.lit(1)).otherwise(ok_expr)
-        nx.append(to_expr)
-        acc.append(ok_expr)
-    return F.struct(F.array(*nx).alias("nx"), F.array(*acc).alias("acc"))
+# Next state of each command (row) in each state (column); other commands change nothing.
+COMMANDS = list(TRANSITIONS)
+_NEXT = [[_S[TRANSITIONS[c].get(s, s)] for s in STATES] for c in COMMANDS]
+
+
+def _code(cmd):
+    """Row of the transition table for a command column (NULL for an unknown command)."""
+    out = F.lit(None).cast("int")
+    for i, c in enumerate(COMMANDS):
+        out = F.when(cmd == F.lit(c), F.lit(i)).otherwise(out)
+    return out
+
+
+def _next(code, state):
+    """State after the command ``code`` in ``state`` (both integer columns)."""
+    table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in _NEXT])
+    return F.when(code.isNull(), state).otherwise(F.element_at(F.element_at(table, code + 1), state + 1))
 
 
 def _identity():
@@ -68,31 +74,66 @@ def _then(f, g):
                     + F.element_at(g["acc"], mid(s) + 1)).alias("acc"))
 
 
-def _compose_sorted(items):
-    """Fold an array of struct<k, f> (sorted by k) into one function."""
-    return F.aggregate(F.array_sort(items), _identity(), lambda acc, x: _then(acc, x["f"]))
+def _then_command(f, code):
+    """Apply ``f`` then one command; every accepted command changes the state."""
+    idx = F.sequence(F.lit(0), F.lit(N_STATES - 1))
+    now = lambda s: F.element_at(f["nx"], s + 1)
+    return F.struct(
+        F.transform(idx, lambda s: _next(code, now(s))).alias("nx"),
+        F.transform(idx, lambda s: F.element_at(f["acc"], s + 1)
+                    + (_next(code, now(s)) != now(s)).cast("int")).alias("acc"))
+
+
+def _blocks(items: DataFrame, block: int, first: bool) -> DataFrame:
+    """Items ``(job_id, k, x)`` grouped into blocks of at most ``block`` consecutive ``k`` of a job, each
+    composed in order: ``(job_id, b, items, f)``. ``x`` is a command code on the first level, a map above."""
+    step = (lambda acc, e: _then_command(acc, e["x"])) if first else (lambda acc, e: _then(acc, e["x"]))
+    grouped = (items.withColumn("b", F.floor(F.col("k") / F.lit(block)).cast("long"))
+               .groupBy("job_id", "b").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("items")))
+    return grouped.withColumn("f", F.aggregate("items", _identity(), step))
+
+
+def _commands(run_events: DataFrame) -> DataFrame:
+    """Numbered events with the command as one small integer."""
+    ev = with_ordinal(run_events.select("job_id", "ts", "event_id", "cmd"), ["job_id", "ts", "event_id"], "k")
+    return ev.withColumn("x", _code(F.col("cmd")))
 
 
 def job_functions(run_events: DataFrame, block: int = 4096) -> DataFrame:
     """Per job, the composed transition map of all its events in
     ``(ts, event_id)`` order: ``(job_id, f, n)``."""
-    ev = with_ordinal(run_events.select("job_id", "ts", "event_id", "cmd"),
-                      ["job_id", "ts", "event_id"], "seq")
+    ev = _commands(run_events)
     n_total = run_events.count()
-    level = ev.select("job_id", F.col("seq").alias("k"), _event_function(F.col("cmd")).alias("f"),
-                      F.lit(1).cast("long").alias("n"))
-    span = 1
+    counts = ev.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    level, span, first = ev.select("job_id", "k", "x"), 1, True
     while True:
         span *= block
         # Each group holds at most ``block`` consecutive items of one job.
-        grouped = (level.withColumn("b", F.floor(F.col("k") / F.lit(block)).cast("long"))
-                        .groupBy("job_id", "b")
-                        .agg(_compose_sorted(F.collect_list(F.struct("k", "f"))).alias("f"),
-                             F.sum("n").alias("n")))
-        level = grouped.select("job_id", F.col("b").alias("k"), "f", "n")
+        level = _blocks(level, block, first).select("job_id", F.col("b").alias("k"), F.col("f").alias("x"))
+        first = False
         if span > n_total:
             break
-    return level.select("job_id", "f", "n")
+    return level.select("job_id", F.col("x").alias("f")).join(counts, "job_id")
+
+
+def _states_before(items: DataFrame, block: int, first: bool) -> DataFrame:
+    """``(job_id, k, s, after)``: the state before and after each item, by scanning its block from the state
+    before the block; that comes from the blocks' maps in the same way, one level up."""
+    blocks = materialize(_blocks(items, block, first), "run-blocks")
+    split = blocks.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if split.isEmpty():
+        start = blocks.withColumn("s0", F.lit(0))
+    else:
+        above = _states_before(blocks.select("job_id", F.col("b").alias("k"), F.col("f").alias("x")), block, False)
+        start = blocks.join(above.select("job_id", F.col("k").alias("b"), F.col("s").alias("s0")), ["job_id", "b"])
+    after = ((lambda s, e: _next(e["x"], s)) if first else (lambda s, e: F.element_at(e["x"]["nx"], s + 1)))
+    empty = F.array().cast("array<struct<k:bigint,s:int,after:int>>")
+    scan = F.aggregate(
+        "items", F.struct(F.col("s0").cast("int").alias("s"), empty.alias("out")),
+        lambda acc, e: F.struct(after(acc["s"], e).cast("int").alias("s"), F.concat(acc["out"], F.array(F.struct(
+            e["k"].alias("k"), acc["s"].alias("s"), after(acc["s"], e).cast("int").alias("after")))).alias("out")),
+        lambda acc: acc["out"])
+    return start.select("job_id", F.inline(scan))
 
 
 def status_name(idx):
@@ -121,9 +162,36 @@ def apply_functions(funcs: DataFrame, state: DataFrame | None = None) -> DataFra
         .alias("n_events"))
 
 
-def present_states(state: DataFrame) -> DataFrame:
+def apply_events(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """One delivery of events onto the stored state ``(job_id, state_idx, accepted, n_events, late, last)``.
+
+    ``last`` is the greatest ``(ts, event_id)`` applied to the job. An event that is not greater came late:
+    it is counted in ``late`` and changes nothing else."""
+    order = F.struct("ts", "event_id")
+    ev = events.select("job_id", "ts", "event_id", "cmd")
+    if state is None:
+        arrived = ev.withColumn("is_late", F.lit(False))
+    else:
+        arrived = ev.join(state.select("job_id", "last"), "job_id", "left").select(
+            *ev.columns, F.coalesce(order <= F.col("last"), F.lit(False)).alias("is_late"))
+    arrived = materialize(arrived, "arrived-events")
+    marks = arrived.groupBy("job_id").agg(F.max(F.when(~F.col("is_late"), order)).alias("now"),
+                                          F.sum(F.col("is_late").cast("long")).alias("came_late"))
+    old = None if state is None else state.select("job_id", "state_idx", "accepted", "n_events")
+    out = apply_functions(job_functions(arrived.where("NOT is_late")), old).join(marks, "job_id", "left")
+    if state is None:
+        return out.select("job_id", "state_idx", "accepted", "n_events", F.col("came_late").alias("late"),
+                          F.col("now").alias("last"))
+    kept = state.select("job_id", F.col("late").alias("was_late"), F.col("last").alias("was"))
+    return out.join(kept, "job_id", "left").select(
+        "job_id", "state_idx", "accepted", "n_events",
+        (F.coalesce("was_late", F.lit(0)) + F.coalesce("came_late", F.lit(0))).cast("long").alias("late"),
+        F.coalesce("now", "was").alias("last"))
+
+
+def present_states(state: DataFrame, late: bool = False) -> DataFrame:
     return state.select("job_id", status_name(F.col("state_idx")).alias("status"), "accepted",
-                        (F.col("n_events") - F.col("accepted")).alias("ignored"), "n_events")
+                        (F.col("n_events") - F.col("accepted")).alias("ignored"), "n_events", *(["late"] if late else []))
 
 
 def job_state_fold(run_events: DataFrame, block: int = 4096) -> DataFrame:
@@ -142,23 +210,21 @@ def job_latest(run_events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_events"))
 
 
-def job_status_spans(run_events: DataFrame) -> DataFrame:
-    """Previous command and time to the next event of the same job.
-
-    ``lag``/``lead`` over a job would sort a hot job in one task; instead
-    events get a global ordinal (W1) and each row meets its neighbour by an
-    equi-join on ``seq - 1`` / ``seq + 1`` (a unique key, so no skew)."""
-    ev = with_ordinal(run_events.select("job_id", "ts", "event_id", "cmd"),
-                      ["job_id", "ts", "event_id"], "seq")
-    prev = ev.select(F.col("seq").alias("p_seq"), F.col("job_id").alias("p_job"),
-                     F.col("cmd").alias("prev_cmd"))
-    nxt = ev.select(F.col("seq").alias("n_seq"), F.col("job_id").alias("n_job"),
-                    F.col("ts").alias("next_ts"))
-    out = (ev.join(prev, (F.col("p_seq") == F.col("seq") - 1) & (F.col("p_job") == F.col("job_id")), "left")
-             .join(nxt, (F.col("n_seq") == F.col("seq") + 1) & (F.col("n_job") == F.col("job_id")), "left"))
-    return out.select("job_id", "event_id", "cmd", "prev_cmd",
-                      F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("next_ts"))
-                       .alias("micros_to_next"))
+def job_status_spans(run_events: DataFrame, block: int = 256) -> DataFrame:
+    """Every change of status with the status before it and the time until the next change:
+    ``(job_id, event_id, prev_status, status, micros_in_status)``; a rejected command ends nothing.
+
+    States come from a block scan (no group holds more than ``block`` items); the next change of the
+    same job is the neighbour in an ordinal over the changes, met by an equi-join on a unique key."""
+    ev = materialize(_commands(run_events), "run-commands")
+    states = _states_before(ev.select("job_id", "k", "x"), block, True).where("s != after")
+    changes = ev.select("k", "ts", "event_id").join(states, "k")
+    ordered = with_ordinal(changes, ["job_id", "k"], "no")
+    following = ordered.select((F.col("no") - 1).alias("no"), F.col("job_id").alias("next_job"), F.col("ts").alias("next_ts"))
+    out = ordered.join(following, "no", "left")
+    until = F.when(F.col("next_job") == F.col("job_id"), F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("next_ts")))
+    return out.select("job_id", "event_id", status_name(F.col("s")).alias("prev_status"),
+                      status_name(F.col("after")).alias("status"), until.alias("micros_in_status"))
 
 
 def jobs_table(run_events: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import normalize_token
+from linkloom.operators.ordinal import with_ordinal
 from linkloom.plans.materialize import materialize
 from linkloom.sources.files import null_markers
 from linkloom.sources.html import corpus_from_html, corpus_with_gaps
@@ -46,7 +47,12 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = c.select(F.col("page_id").alias("t_id"), F.col("url").alias("t_url"),
                  F.col("h1").alias("t_h1"))
     k = F.col("page_id") % 10
-    base = c.join(t, F.col("t_id") == F.col("page_id") + 1)
+    # Each page links to the page with the next larger id (gaps allowed), the last one to the first.
+    ordered = with_ordinal(c.select("page_id"), ["page_id"], "no")
+    no = ordered.select(F.col("page_id").alias("next_id"), F.col("no").alias("next_no"))
+    n = ordered.count()
+    following = ordered.join(no, F.col("next_no") == F.col("no") % n + 1).select("page_id", "next_id")
+    base = c.join(following, "page_id").join(t, F.col("t_id") == F.col("next_id"))
     first3 = _words(F.col("content"), 1, 3)
     main = base.select(
         F.col("page_id").alias("source_id"), F.col("url").alias("source_url"),
@@ -77,7 +83,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     words go inside the JSON, so no escaping is involved). By
     ``source_id % 5``: 0 plain array; 1 array fenced in prose; 2 array led by
     a scalar and an object without the keys; 3 top-level object; 4 truncated.
-    Columns ``source_id, source_url, response_text``."""
+    Columns ``source_id, source_url, response_no, response_text``."""
     s = suggestions(spark, sf_dir)
     clean_anchor = F.array_join(
         F.filter(F.transform(F.split(F.col("anchor_text"), " "), normalize_token),
@@ -100,7 +106,11 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k == 3, F.concat(F.lit('{"anchor_text": "x y", "target_url": "'),
                                     F.col("source_url"), F.lit('"}')))
              .otherwise(F.concat(F.lit("["), F.left(items, F.floor(F.length(items) / 2).cast("int")))))
-    return per_src.select("source_id", "source_url", text.alias("response_text"))
+    first = per_src.select("source_id", "source_url", F.lit(1).alias("response_no"), text.alias("response_text"))
+    # Sources with many suggestions answer twice: the cap of R3 holds for each response.
+    second = per_src.where(F.col("source_id") % 10 == 6).select(
+        "source_id", "source_url", F.lit(2), F.concat(F.lit("["), items, F.lit("]")))
+    return first.union(second)
 
 
 # --- fixed values: event type -> ledger command ---
@@ -108,13 +118,38 @@ EVENT_COMMANDS = {"signup": "create", "view": "start", "click": "pause",
                   "purchase": "complete", "error": "stop"}
 
 
+# The same by job_id % 5, so that jobs end in every status: 0 and 1 are never completed or stopped,
+# 1 may fail, 2 is never started.
+EVENT_COMMANDS_BY_JOB = {
+    0: {**EVENT_COMMANDS, "purchase": "start", "error": "pause"},
+    1: {**EVENT_COMMANDS, "purchase": "start", "error": "fail"},
+    2: {"signup": "create", "view": "pause", "click": "pause", "purchase": "pause", "error": "pause"},
+}
+
+
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as a job ledger: ``(job_id, ts, event_id, cmd)``."""
+    """``events`` as a job ledger: ``(job_id, ts, event_id, cmd)``; jobs with ``job_id % 4 = 1`` begin
+    four weeks later than the others."""
     e = read_table(spark, sf_dir, "events")
-    cmd = F.lit(None).cast("string")
-    for et, c in EVENT_COMMANDS.items():
-        cmd = F.when(F.col("event_type") == et, F.lit(c)).otherwise(cmd)
-    return e.select(F.col("user_id").alias("job_id"), "ts", "event_id", cmd.alias("cmd"))
+
+    def mapped(table):
+        cmd = F.lit(None).cast("string")
+        for et, c in table.items():
+            cmd = F.when(F.col("event_type") == et, F.lit(c)).otherwise(cmd)
+        return cmd
+
+    cmd = mapped(EVENT_COMMANDS)
+    for k, table in EVENT_COMMANDS_BY_JOB.items():
+        cmd = F.when(F.col("user_id") % 5 == k, mapped(table)).otherwise(cmd)
+    ts = F.when(F.col("user_id") % 4 == 1, F.col("ts") + F.make_dt_interval(F.lit(28))).otherwise(F.col("ts"))
+    return e.select(F.col("user_id").alias("job_id"), ts.alias("ts"), "event_id", cmd.alias("cmd"))
+
+
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ``stop`` for every third job, a minute before the job's first event."""
+    first = run_events(spark, sf_dir).where(F.col("job_id") % 3 == 0).groupBy("job_id").agg(F.min("ts").alias("first"))
+    return first.select("job_id", (F.col("first") - F.make_dt_interval(mins=F.lit(1))).alias("ts"),
+                        (F.col("job_id") + 1_000_000_000).alias("event_id"), F.lit("stop").alias("cmd"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,4 +157,4 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["corpus", "corpus_gaps", "corpus_read", "suggestions", "responses",
-           "run_events", "documents"]
+           "run_events", "late_events", "documents"]

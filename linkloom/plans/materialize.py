@@ -4,8 +4,9 @@ Parquet under ``spark.checkpoint.dir`` (the cluster's shared folder; tests
 get a scratch folder): the write is columnar and compressed, the read-back
 has exact statistics for the planner, and the lineage is cut, so a lost
 executor recomputes from the table instead of from the raw input. Tables of
-one application live under ``tables/<application id>/``; :func:`cleanup`
-removes them once the results have been consumed.
+one application, with all other scratch folders, live under
+``tables/<application id>/``; :func:`cleanup` removes them once the results
+have been consumed.
 """
 
 from __future__ import annotations
@@ -13,20 +14,15 @@ from __future__ import annotations
 import os
 import sys
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.session import checkpoint_dir
-
-
-def _app_root(spark: SparkSession) -> str:
-    return os.path.join(checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
+from linkloom.session import scratch, scratch_root
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    path = os.path.join(_app_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = scratch(spark, name)
     t = time.time()
     df.write.mode("overwrite").parquet(path)
     if os.environ.get("LINKLOOM_TRACE"):
@@ -37,7 +33,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def cleanup(spark: SparkSession) -> None:
     """Delete this application's intermediate tables (call after the
     results are written or collected)."""
-    root = _app_root(spark)
+    root = scratch_root(spark)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(jpath):

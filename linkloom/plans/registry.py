@@ -5,8 +5,6 @@ Each reads the driver tables (or tables Spark derives from them) in full.
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +21,7 @@ from linkloom.operators import stats as ST
 from linkloom.operators.ordinal import with_ordinal
 from linkloom.operators.relevance import topic_relevance
 from linkloom.plans import fixtures as FX
-from linkloom.session import checkpoint_dir
+from linkloom.session import scratch
 from linkloom.sources import files as FI
 
 AS_OF = "2024-01-31 00:00:00"   # F2 reference time (a parameter, never the clock)
@@ -31,11 +29,6 @@ TOP_K = 3                        # L10 demo cap (L11 uses the default 5)
 REQUEST_CANDIDATES = 10          # P8 candidates per request
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
-
-
 # ------------------------------------------------------------------ sources
 def q_corpus_from_html(spark, sf):
     return FX.corpus(spark, sf)
@@ -205,18 +198,18 @@ def _responses(spark, sf):
 
 def q_response_parse(spark, sf):
     p = R.parse_responses(_responses(spark, sf))
-    return p.select("source_url", "parse_status",
+    return p.select("source_url", "response_no", "parse_status",
                     F.array_size(F.try_variant_get(F.col("root"), "$", "array<variant>"))
                      .cast("long").alias("n_items"))
 
 
 def q_response_items(spark, sf):
-    items = R.response_items(R.parse_responses(_responses(spark, sf)), ["source_url"])
-    return items.select("source_url", F.col("pos").cast("long").alias("pos"))
+    items = R.response_items(R.parse_responses(_responses(spark, sf)), ["source_url", "response_no"])
+    return items.select("source_url", "response_no", F.col("pos").cast("long").alias("pos"))
 
 
 def q_response_suggestions(spark, sf):
-    return R.response_suggestions(_responses(spark, sf))
+    return R.response_suggestions(_responses(spark, sf), keep=("response_no",))
 
 
 def q_response_outcomes(spark, sf):
@@ -225,13 +218,16 @@ def q_response_outcomes(spark, sf):
 
 # -------------------------------------------------------------- linking (L)
 def q_phrase_links(spark, sf):
-    m = L.phrase_matches(FX.corpus(spark, sf))
-    return m.select("source_id", "target_id", F.col("n").cast("long").alias("n"), "gram",
+    """L1: every topic phrase of every page's text, once per page."""
+    corpus = FX.corpus(spark, sf)
+    p = L.LinkParams(near_duplicates=False)
+    m = L.source_phrases(corpus, L.prepare_targets(corpus, p), p)
+    return m.select("source_id", F.col("n").cast("long").alias("n"), "gram",
                     F.col("df").cast("long").alias("df"), F.col("pos").cast("long").alias("start_pos"))
 
 
 def _pairs(spark, sf):
-    return L.best_per_pair(L.phrase_matches(FX.corpus(spark, sf)))
+    return L.shortlist(FX.corpus(spark, sf))
 
 
 def q_one_link_per_target(spark, sf):
@@ -242,7 +238,7 @@ def q_one_link_per_target(spark, sf):
 
 def q_near_duplicate_pairs(spark, sf):
     corpus = FX.corpus(spark, sf)
-    return L.near_duplicate_pairs(L.best_per_pair(L.phrase_matches(corpus)), corpus)
+    return L.near_duplicate_pairs(L.shortlist(corpus), L.page_sketches(corpus))
 
 
 def q_link_priority(spark, sf):
@@ -375,6 +371,10 @@ def q_stream_corpus_stats(spark, sf):
     return _streaming().stream_corpus_stats(spark, sf)
 
 
+def q_stream_suggestion_stats(spark, sf):
+    return _streaming().stream_suggestion_stats(spark, sf)
+
+
 def q_stream_job_state(spark, sf):
     return _streaming().stream_job_state(spark, sf)
 

@@ -1,13 +1,28 @@
 """Independent DuckDB SQL for every registered query.
 
 Written in DuckDB's dialect against the raw driver views (``pages``,
-``events``...). It shares only the fixed patterns and constants with the
-Spark side, never plan code.
+``events``...). It shares nothing with the Spark side, neither plan code nor values.
 """
 
 from __future__ import annotations
 
-from linkloom.functions import patterns as P
+# Fixed values, written out: a wrong value in the code under test must not pass on both sides.
+class P:
+    ARTICLE_RE = '(?is)<article[^>]*>(.*?)</article>'
+    ASCII_SPACE_RUN = '[ \\t\\n\\x0B\\f\\r]+'
+    CLAUSE_END_CHARS = ['.', '!', '?', ';', ':', ',']
+    H1_ELEMENT_RE = '(?is)<h1[^>]*>.*?</h1>'
+    H1_RE = '(?is)<h1[^>]*>(.*?)</h1>'
+    HTML_ENTITIES = [('&lt;', '<'), ('&gt;', '>'), ('&quot;', '"'), ('&#39;', "'"), ('&nbsp;', '\xa0'), ('&copy;', '©'), ('&middot;', '·'), ('&amp;', '&')]
+    NON_WORD = '[^\\p{L}\\p{N}]'
+    NULL_MARKERS = ['', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null']
+    OUTER_NON_WORD = '\\A[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+\\z'
+    PY_STRIP = '\\A[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+\\z'
+    TAG_RE = '<[^>]*>'
+    TITLE_RE = '(?is)<title[^>]*>(.*?)</title>'
+    TITLE_SEPARATOR_RE = '[|–—-]'
+    URL_EXTENSION_RE = '(?i)\\.(html?|php|aspx?)$'
+    URL_WORD_JOINERS_RE = '[_-]'
 
 
 def q(s: str) -> str:
@@ -147,7 +162,7 @@ def grams_cte(name: str, src: str, keep: str, text: str, with_anchor: bool,
 )"""
 
 
-def link_ctes(src: str = "corpus", k: int = 5, max_df: int = 20, near_dup: bool = True) -> list[str]:
+def link_ctes(src: str = "corpus", k: int = 5, near_dup: bool = True) -> list[str]:
     """CTEs ending in ``ranked`` (all candidate pairs with rank) for L1-L11."""
     ctes = [
         entities_cte(src, "l_ents"),
@@ -161,7 +176,7 @@ tphr AS (
 pdf AS (SELECT n, gram, count(*) AS df FROM tphr GROUP BY n, gram),
 tg AS (
   SELECT tphr.*, pdf.df, {url_silo('target_url')} AS t_silo, {url_depth('target_url')} AS t_depth
-  FROM tphr JOIN pdf USING (n, gram) WHERE pdf.df <= {max_df}
+  FROM tphr JOIN pdf USING (n, gram)
 )""",
         f"""
 l_src AS (SELECT page_id, url, coalesce(content, '') AS content FROM {src})""",
@@ -178,6 +193,14 @@ pairs AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY n DESC, df, pos) AS rn
     FROM matches) WHERE rn = 1
+),
+shortlist AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n DESC, df ASC, priority DESC,
+                                  pos ASC, target_url ASC, target_id ASC) AS place
+    FROM (SELECT *, CASE WHEN s_silo = t_silo AND t_depth < s_depth THEN 2
+                         WHEN s_silo = t_silo THEN 1 ELSE 0 END AS priority FROM pairs))
+  WHERE place <= 10
 )""",
         f"""
 sh_tok AS (
@@ -233,7 +256,9 @@ def words_sql(text: str, start: int, count: int) -> str:
 SUGGESTIONS = f"""
 sg_c AS (SELECT page_id, url, h1, content FROM corpus),
 sg_t AS (SELECT page_id AS t_id, url AS t_url, h1 AS t_h1 FROM corpus),
-sg_base AS (SELECT * FROM sg_c c JOIN sg_t t ON t.t_id = c.page_id + 1),
+sg_next AS (SELECT page_id AS from_id, coalesce(lead(page_id) OVER (ORDER BY page_id),
+              min(page_id) OVER ()) AS next_id FROM corpus),
+sg_base AS (SELECT c.*, t.* FROM sg_c c JOIN sg_next x ON x.from_id = c.page_id JOIN sg_t t ON t.t_id = x.next_id),
 suggestions AS (
   SELECT page_id AS source_id, url AS source_url,
     CASE WHEN page_id % 10 = 4 THEN {words_sql('content', 1, 1)}
@@ -268,7 +293,7 @@ resp_items AS (
   FROM suggestions GROUP BY source_id, source_url
 ),
 responses AS (
-  SELECT source_id, source_url,
+  SELECT source_id, source_url, 1 AS response_no,
     CASE source_id % 5
       WHEN 0 THEN '[' || items || ']'
       WHEN 1 THEN 'Here are the suggestions:' || {_NL} || '```json' || {_NL} || '[' || items || ']'
@@ -277,22 +302,24 @@ responses AS (
       WHEN 3 THEN '{{"anchor_text": "x y", "target_url": "' || source_url || '"}}'
       ELSE '[' || left(items, CAST(floor(length(items) / 2) AS INTEGER)) END AS response_text
   FROM resp_items
+  UNION ALL
+  SELECT source_id, source_url, 2, '[' || items || ']' FROM resp_items WHERE source_id % 10 = 6
 )"""
 
 ARRAY_SPAN_RE = "(?s)\\[.*\\]"
 
 RESPONSE_PARSE = f"""
-rp0 AS (SELECT source_url, {py_strip("coalesce(response_text, '')")} AS t FROM responses),
-rp1 AS (SELECT source_url, t, json_valid(t) AS d_ok, regexp_extract(t, {q(ARRAY_SPAN_RE)}, 0) AS span FROM rp0),
+rp0 AS (SELECT source_url, response_no, {py_strip("coalesce(response_text, '')")} AS t FROM responses),
+rp1 AS (SELECT source_url, response_no, t, json_valid(t) AS d_ok, regexp_extract(t, {q(ARRAY_SPAN_RE)}, 0) AS span FROM rp0),
 parsed AS (
-  SELECT source_url,
+  SELECT source_url, response_no,
     CASE WHEN d_ok THEN 'direct' WHEN span <> '' AND json_valid(span) THEN 'fallback' ELSE 'failed' END AS parse_status,
     CASE WHEN d_ok THEN CAST(t AS JSON) WHEN span <> '' AND json_valid(span) THEN CAST(span AS JSON) END AS root
   FROM rp1
 ),
 r_items AS (
-  SELECT source_url, pos, json_extract(root, '$[' || CAST(pos AS VARCHAR) || ']') AS el
-  FROM (SELECT source_url, root, unnest(range(0, CAST(json_array_length(root) AS BIGINT))) AS pos
+  SELECT source_url, response_no, pos, json_extract(root, '$[' || CAST(pos AS VARCHAR) || ']') AS el
+  FROM (SELECT source_url, response_no, root, unnest(range(0, CAST(json_array_length(root) AS BIGINT))) AS pos
         FROM parsed WHERE json_type(root) = 'ARRAY')
 ),
 r_valid AS (
@@ -300,22 +327,40 @@ r_valid AS (
   WHERE json_extract(el, '$.anchor_text') IS NOT NULL AND json_extract(el, '$.target_url') IS NOT NULL
 )"""
 
-_EVENT_CASE = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in
-                       {"signup": "create", "view": "start", "click": "pause",
-                        "purchase": "complete", "error": "stop"}.items())
+def _event_case(moves: dict) -> str:
+    return "CASE event_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in moves.items()) + " END"
+
+
+_BASE_COMMANDS = {"signup": "create", "view": "start", "click": "pause", "purchase": "complete", "error": "stop"}
 RUN_EVENTS = f"""
-run_events AS (SELECT user_id AS job_id, ts, event_id, CASE event_type {_EVENT_CASE} END AS cmd FROM events)"""
+run_events AS (
+  SELECT user_id AS job_id, CASE WHEN user_id % 4 = 1 THEN ts + INTERVAL 28 DAY ELSE ts END AS ts, event_id,
+    CASE user_id % 5
+      WHEN 0 THEN {_event_case({**_BASE_COMMANDS, "purchase": "start", "error": "pause"})}
+      WHEN 1 THEN {_event_case({**_BASE_COMMANDS, "purchase": "start", "error": "fail"})}
+      WHEN 2 THEN {_event_case({k: "create" if k == "signup" else "pause" for k in _BASE_COMMANDS})}
+      ELSE {_event_case(_BASE_COMMANDS)} END AS cmd
+  FROM events
+)"""
+
+# Accepted commands, written out: (command, status before, status after).
+_MOVES = [
+    ("create", "none", "queued"), ("start", "queued", "running"), ("start", "paused", "running"),
+    ("pause", "running", "paused"), ("complete", "running", "completed"), ("stop", "running", "stopped"),
+    ("stop", "paused", "stopped"), ("fail", "queued", "failed"), ("fail", "running", "failed"), ("fail", "paused", "failed"),
+]
 
 
 def fold_case() -> str:
-    from linkloom.operators.runs import TRANSITIONS
-    whens = []
-    for cmd, moves in TRANSITIONS.items():
-        for frm, to in moves.items():
-            whens.append(f"WHEN c = {q(cmd)} AND acc.s = {q(frm)} THEN {{'s': {q(to)}, 'a': acc.a + 1}}")
+    whens = [f"WHEN c = {q(c)} AND acc.s = {q(a)} THEN {{'s': {q(b)}, 'a': acc.a + 1}}" for c, a, b in _MOVES]
     return "CASE " + " ".join(whens) + " ELSE acc END"
 
 
+def move_case(cmd: str, status: str) -> str:
+    whens = [f"WHEN {cmd} = {q(c)} AND {status} = {q(a)} THEN {q(b)}" for c, a, b in _MOVES]
+    return "CASE " + " ".join(whens) + f" ELSE {status} END"
+
+
 JOBS = f"""
 j_fold AS (
   SELECT job_id, count(*) AS n_events,
@@ -442,27 +487,29 @@ FROM corpus c LEFT JOIN (
     "terminal_jobs": _w(RUN_EVENTS, JOBS, body="SELECT job_id, status FROM jobs "
                                                 "WHERE status IN ('completed', 'failed', 'stopped')"),
     "response_parse": _w(*_C, SUGGESTIONS, RESPONSES, RESPONSE_PARSE, body="""
-SELECT source_url, parse_status,
+SELECT source_url, response_no, parse_status,
        CASE WHEN json_type(root) = 'ARRAY' THEN CAST(json_array_length(root) AS BIGINT) END AS n_items
 FROM parsed"""),
     "response_items": _w(*_C, SUGGESTIONS, RESPONSES, RESPONSE_PARSE,
-                         body="SELECT source_url, CAST(pos AS BIGINT) AS pos FROM r_valid"),
+                         body="SELECT source_url, response_no, CAST(pos AS BIGINT) AS pos FROM r_valid"),
     "response_suggestions": _w(*_C, SUGGESTIONS, RESPONSES, RESPONSE_PARSE, body="""
-SELECT source_url, json_extract_string(el, '$.anchor_text') AS anchor_text,
+SELECT source_url, response_no, json_extract_string(el, '$.anchor_text') AS anchor_text,
        json_extract_string(el, '$.target_url') AS target_url,
        json_extract_string(el, '$.entity_match') AS entity_match, CAST(pos AS BIGINT) AS item_pos
-FROM (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY pos) AS rn FROM r_valid) WHERE rn <= 5"""),
+FROM (SELECT *, row_number() OVER (PARTITION BY source_url, response_no ORDER BY pos) AS rn FROM r_valid) WHERE rn <= 5"""),
     "response_outcomes": _w(*_C, SUGGESTIONS, RESPONSES, RESPONSE_PARSE,
                             body="SELECT parse_status, count(*) AS responses FROM parsed GROUP BY parse_status"),
-    "phrase_links": _w(*_C, *_LS, body="SELECT source_id, target_id, CAST(n AS BIGINT) AS n, gram, "
-                                        "CAST(df AS BIGINT) AS df, CAST(pos AS BIGINT) AS start_pos FROM matches"),
+    "phrase_links": _w(*_C, *_LS, body="SELECT s.page_id AS source_id, CAST(s.n AS BIGINT) AS n, s.gram, "
+                                        "CAST(any_value(pdf.df) AS BIGINT) AS df, CAST(min(s.pos) AS BIGINT) AS start_pos "
+                                        "FROM sgrams s JOIN pdf ON s.n = pdf.n AND s.gram = pdf.gram "
+                                        "GROUP BY s.page_id, s.n, s.gram"),
     "one_link_per_target": _w(*_C, *_LS, body="SELECT source_id, target_id, CAST(n AS BIGINT) AS n, "
-                                               "CAST(df AS BIGINT) AS df, CAST(pos AS BIGINT) AS start_pos, gram FROM pairs"),
+                                               "CAST(df AS BIGINT) AS df, CAST(pos AS BIGINT) AS start_pos, gram FROM shortlist"),
     "near_duplicate_pairs": _w(*_C, *_LS, body="SELECT source_id, target_id, CAST(inter AS BIGINT) AS inter, "
-                                                "CAST(uni AS BIGINT) AS uni FROM dups"),
+                                                "CAST(uni AS BIGINT) AS uni FROM dups "
+                                                "WHERE (source_id, target_id) IN (SELECT (source_id, target_id) FROM shortlist)"),
     "link_priority": _w(*_C, *_LS, body="""
-SELECT source_id, target_id, CAST(CASE WHEN s_silo = t_silo AND t_depth < s_depth THEN 2
-                                       WHEN s_silo = t_silo THEN 1 ELSE 0 END AS BIGINT) AS priority FROM pairs"""),
+SELECT source_id, target_id, CAST(priority AS BIGINT) AS priority FROM shortlist"""),
     "top_k_links": _w(*_C, *_LS, body="SELECT source_id, target_id, rank FROM ranked WHERE rank <= 3"),
     "link_suggestions": _w(*_C, *_LS, body=_link_sugg()),
     "unknown_targets": _w(*_C, SUGGESTIONS, body="""
@@ -493,10 +540,18 @@ FROM (SELECT count(*) AS total_suggestions, count(DISTINCT source_url) AS pages_
     "page_ordinal": _w(*_C, body="SELECT page_id, row_number() OVER (ORDER BY page_id) AS page_no FROM corpus"),
     "job_latest": _w(RUN_EVENTS, JOBS, body="SELECT * FROM job_latest"),
     "job_state_fold": _w(RUN_EVENTS, JOBS, body="SELECT * FROM job_state"),
-    "job_status_spans": _w(RUN_EVENTS, body="""
-SELECT job_id, event_id, cmd, lag(cmd) OVER w AS prev_cmd,
-       epoch_us(lead(ts) OVER w) - epoch_us(ts) AS micros_to_next
-FROM run_events WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)"""),
+    "job_status_spans": f"""
+WITH RECURSIVE {RUN_EVENTS},
+sp_ev AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS rn FROM run_events),
+sp_st AS (
+  SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS rn, 'none' AS before, 'none' AS s FROM sp_ev
+  UNION ALL
+  SELECT e.job_id, e.rn, st.s, {move_case('e.cmd', 'st.s')}
+  FROM sp_st st JOIN sp_ev e ON e.job_id = st.job_id AND e.rn = st.rn + 1
+)
+SELECT e.job_id, e.event_id, nullif(before, 'none') AS prev_status, s AS status,
+       epoch_us(lead(ts) OVER (PARTITION BY e.job_id ORDER BY e.rn)) - epoch_us(ts) AS micros_in_status
+FROM sp_st JOIN sp_ev e USING (job_id, rn) WHERE s <> before""",
     "job_listing": _w(RUN_EVENTS, JOBS, body="""
 SELECT row_number() OVER (ORDER BY created_at DESC, job_id ASC) AS list_pos, job_id, status,
        replace(left(CAST(created_at AS VARCHAR), 19), 'T', ' ') AS created
@@ -507,9 +562,15 @@ FROM jobs"""),
 SELECT *, row_number() OVER (ORDER BY source_url, rank) AS preview_pos
 FROM ({_link_sugg()}) ORDER BY source_url, rank LIMIT 20"""),
     "stream_link_suggestions": _w(*_C, *_LS, body=_link_sugg()),
+    "stream_suggestion_stats": _w(*_C, *_LS, f"ls AS ({_link_sugg()})", body="""
+SELECT total_suggestions, pages_with_suggestions,
+       coalesce(CAST(total_suggestions AS DOUBLE) / nullif(pages_with_suggestions, 0), 0.0) AS avg_per_page
+FROM (SELECT count(*) AS total_suggestions, count(DISTINCT source_url) AS pages_with_suggestions FROM ls)"""),
     "stream_corpus_stats": _w(*_CR, body="SELECT count(*) AS total_pages, count(h1) AS pages_with_h1, "
                                           "count(meta_title) AS pages_with_title FROM corpus_read"),
-    "stream_job_state": _w(RUN_EVENTS, JOBS, body="SELECT job_id, status, accepted, ignored, n_events FROM job_state"),
+    "stream_job_state": _w(RUN_EVENTS, JOBS, body="SELECT job_id, status, accepted, ignored, n_events, "
+                                                    "CAST(CASE WHEN job_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS late "
+                                                    "FROM job_state"),
 }
 
 
@@ -548,7 +609,7 @@ ORACLE["link_run_summary"] = _w(*_C, *_LS, f"ls AS ({_link_sugg()})", body="""
 SELECT 'pages' AS metric, CAST(count(*) AS BIGINT) AS value FROM corpus
 UNION ALL SELECT 'target_phrases', count(*) FROM tphr
 UNION ALL SELECT 'distinct_phrases', count(*) FROM pdf
-UNION ALL SELECT 'generic_phrases_dropped', count(*) FROM pdf WHERE df > 20
+UNION ALL SELECT 'most_pages_of_a_phrase', coalesce(max(df), 0) FROM pdf
 UNION ALL SELECT 'pages_without_topic_phrase', count(*) FROM corpus
           WHERE page_id NOT IN (SELECT DISTINCT target_id FROM tphr)
 UNION ALL SELECT 'links', count(*) FROM ls

@@ -7,25 +7,18 @@ the pause/resume of the reference: only files not yet committed are read.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators import runs as RU
 from linkloom.operators.linking import link_suggestions, prepare_targets
-from linkloom.operators.stats import corpus_stats
-from linkloom.session import checkpoint_dir
+from linkloom.operators.stats import corpus_stats, suggestion_totals
+from linkloom.session import scratch
 from linkloom.sources.files import null_markers
 from linkloom.sources.html import corpus_from_html, corpus_with_gaps
 from linkloom.sources.tables import read_table
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
-
-
 def _run_available(stream_df: DataFrame, fn, ckpt: str, output_mode: str = "append") -> None:
     q = (stream_df.writeStream.outputMode(output_mode).foreachBatch(fn)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
@@ -47,8 +40,9 @@ def link_stream(spark: SparkSession, pages_dir: str, catalogue: DataFrame, out_d
                 ckpt: str, schema) -> None:
     """Suggestions for newly arrived pages against the full catalogue (C4).
     The catalogue side (measured phrase table, prefixes, shingle sets) is
-    built once here; each micro-batch only explodes its own pages."""
-    prepared = prepare_targets(catalogue, reuse=True)
+    built once here; each micro-batch only explodes its own pages. Arriving
+    pages need not be in the catalogue: their own shingle sets are added."""
+    prepared = prepare_targets(catalogue)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         corpus = corpus_from_html(batch)
@@ -61,7 +55,7 @@ def link_stream(spark: SparkSession, pages_dir: str, catalogue: DataFrame, out_d
 def _two_step_pages(spark: SparkSession, sf_dir: str, run) -> None:
     """Deliver even pages, run; deliver odd pages, run again (a restart)."""
     pages = read_table(spark, sf_dir, "pages")
-    in_dir = _scratch(spark, "arriving-pages")
+    in_dir = scratch(spark, "arriving-pages")
     pages.where(F.col("page_id") % 2 == 0).write.mode("append").parquet(in_dir)
     run(in_dir, pages.schema)
     pages.where(F.col("page_id") % 2 == 1).write.mode("append").parquet(in_dir)
@@ -70,7 +64,7 @@ def _two_step_pages(spark: SparkSession, sf_dir: str, run) -> None:
 
 def stream_link_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalogue = corpus_from_html(read_table(spark, sf_dir, "pages"))
-    out_dir, ckpt = _scratch(spark, "stream-links"), _scratch(spark, "stream-links-ckpt")
+    out_dir, ckpt = scratch(spark, "stream-links"), scratch(spark, "stream-links-ckpt")
     _two_step_pages(spark, sf_dir,
                     lambda d, schema: link_stream(spark, d, catalogue, out_dir, ckpt, schema))
     return spark.read.parquet(out_dir).drop("batch_id")
@@ -79,7 +73,7 @@ def stream_link_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ T2
 def stream_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running A1-A3 over arriving pages (streaming aggregate, complete mode)."""
-    out_dir, ckpt = _scratch(spark, "stream-stats"), _scratch(spark, "stream-stats-ckpt")
+    out_dir, ckpt = scratch(spark, "stream-stats"), scratch(spark, "stream-stats-ckpt")
 
     def run(in_dir, schema):
         corpus = null_markers(corpus_with_gaps(corpus_from_html(
@@ -93,54 +87,74 @@ def stream_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out_dir)
 
 
+def suggestion_stats_stream(spark: SparkSession, links_dir: str, out_dir: str, ckpt: str, schema) -> None:
+    """Running A4-A6 over arriving suggestions: the state is one count per source URL, from which the
+    totals are a small aggregate at every batch."""
+    counts = (spark.readStream.schema(schema).parquet(links_dir)
+              .groupBy("source_url").agg(F.count(F.lit(1)).alias("links")))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        suggestion_totals(batch).write.mode("overwrite").parquet(out_dir)
+    _run_available(counts, sink, ckpt, output_mode="complete")
+
+
+def stream_suggestion_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 for A4-A6: statistics of the suggestions that :func:`stream_link_suggestions` writes."""
+    links = stream_link_suggestions(spark, sf_dir)
+    in_dir, out_dir, ckpt = (scratch(spark, n) for n in ("arriving-links", "stream-totals", "stream-totals-ckpt"))
+    for half in (0, 1):
+        links.where(F.pmod(F.xxhash64("source_url"), F.lit(2)) == half).write.mode("append").parquet(in_dir)
+        suggestion_stats_stream(spark, in_dir, out_dir, ckpt, links.schema)
+    return spark.read.parquet(out_dir)
+
+
 # ------------------------------------------------------------------ T3
-def _latest_version(spark: SparkSession, state_dir: str, before: str | None = None) -> str | None:
-    """Newest committed state version (optionally older than ``before``)."""
+KEEP_VERSIONS = 2   # committed job-state versions that stay: the newest and the one a replay starts from
+
+
+def _versions(spark: SparkSession, state_dir: str) -> list[str]:
+    """Committed state versions, oldest first (a version without ``_SUCCESS`` was never finished)."""
     if not _exists(spark, state_dir):
-        return None
+        return []
     fs, p = _fs(spark, state_dir)
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p)
-                   if s.getPath().getName().startswith("v="))
-    if before is not None:
-        names = [n for n in names if n < before]
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v="))
+    return [n for n in names if _exists(spark, f"{state_dir}/{n}/_SUCCESS")]
+
+
+def _latest_version(spark: SparkSession, state_dir: str, before: str | None = None) -> str | None:
+    """Newest committed state version (optionally older than ``before``)."""
+    names = [n for n in _versions(spark, state_dir) if before is None or n < before]
     return f"{state_dir}/{names[-1]}" if names else None
 
 
-def job_state_stream(spark: SparkSession, events_dir: str, state_dir: str, ckpt: str,
-                     schema) -> None:
-    """Keyed upsert of job states: each batch's events are folded into one
-    transition map per job (W4's tree reduction) and applied to the stored
-    state. Events of a job must arrive in time order across batches."""
+def job_state_stream(spark: SparkSession, events_dir: str, state_dir: str, ckpt: str, schema) -> None:
+    """Keyed upsert of job states over arriving ``(job_id, ts, event_id, cmd)`` rows.
+
+    Each batch's events are folded into one transition map per job (W4's tree reduction) and applied
+    to the stored state. The state keeps the last ``(ts, event_id)`` of each job: an event that
+    arrives after a later one of its job was applied is late; it changes nothing and is counted."""
     def process(batch: DataFrame, batch_id: int) -> None:
         version = f"v={batch_id:012d}"
         # A replayed batch recomputes from the version before it and
         # overwrites its own version: idempotent.
         prev_path = _latest_version(spark, state_dir, before=version)
-        target = f"{state_dir}/{version}"
         prev = spark.read.parquet(prev_path) if prev_path else None
-        ev = batch.select(F.col("user_id").alias("job_id"), "ts", "event_id",
-                          _cmd(F.col("event_type")).alias("cmd"))
-        new = RU.apply_functions(RU.job_functions(ev), prev)
-        new.write.mode("overwrite").parquet(target)
+        new = RU.apply_events(batch, prev)
+        new.write.mode("overwrite").parquet(f"{state_dir}/{version}")
+        for old in [n for n in _versions(spark, state_dir) if n <= version][:-KEEP_VERSIONS]:
+            fs, p = _fs(spark, f"{state_dir}/{old}")
+            fs.delete(p, True)
     stream = spark.readStream.schema(schema).parquet(events_dir)
     _run_available(stream, process, ckpt)
 
 
-def _cmd(event_type):
-    from linkloom.plans.fixtures import EVENT_COMMANDS
-    cmd = F.lit(None).cast("string")
-    for et, c in EVENT_COMMANDS.items():
-        cmd = F.when(event_type == et, F.lit(c)).otherwise(cmd)
-    return cmd
-
-
 def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read_table(spark, sf_dir, "events")
-    in_dir = _scratch(spark, "arriving-events")
-    state_dir, ckpt = _scratch(spark, "job-state"), _scratch(spark, "job-state-ckpt")
-    split = F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00"))
-    events.where(F.col("ts") < split).write.mode("append").parquet(in_dir)
+    """T3 over the derived ledger; its ``late`` commands arrive in the second delivery, too late."""
+    from linkloom.plans.fixtures import late_events, run_events
+    events, late = run_events(spark, sf_dir), late_events(spark, sf_dir)
+    in_dir, state_dir, ckpt = (scratch(spark, n) for n in ("arriving-events", "job-state", "job-state-ckpt"))
+    events.write.mode("append").parquet(in_dir)
     job_state_stream(spark, in_dir, state_dir, ckpt, events.schema)
-    events.where(F.col("ts") >= split).write.mode("append").parquet(in_dir)
+    late.select(*events.columns).write.mode("append").parquet(in_dir)
     job_state_stream(spark, in_dir, state_dir, ckpt, events.schema)
-    return RU.present_states(spark.read.parquet(_latest_version(spark, state_dir)))
+    return RU.present_states(spark.read.parquet(_latest_version(spark, state_dir)), late=True)

@@ -6,6 +6,8 @@ both, but RE2 leaves out vertical tab), ``\\A``/``\\z`` anchors, ``\\x{..}``
 escapes.
 """
 
+from html.entities import name2codepoint
+
 # --- fixed values: Python's str.isspace() set, i.e. what str.strip() removes ---
 PY_SPACE_CLASS = (
     "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
@@ -24,21 +26,17 @@ OUTER_NON_WORD = "\\A[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+\\z"
 # --- fixed values: HTML extraction ---
 TITLE_RE = "(?is)<title[^>]*>(.*?)</title>"
 H1_RE = "(?is)<h1[^>]*>(.*?)</h1>"
-ARTICLE_RE = "(?is)<article[^>]*>(.*?)</article>"
+# Text that is not shown, and the regions that hold the main text: greedy, so a nested or second
+# element of the same name stays inside.
+HIDDEN_RE = "(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
+MAIN_TEXT_RES = ["(?is)<article(?:\\s[^>]*)?>(.*)</article>", "(?is)<main(?:\\s[^>]*)?>(.*)</main>",
+                 "(?is)<body(?:\\s[^>]*)?>(.*)</body>"]
 H1_ELEMENT_RE = "(?is)<h1[^>]*>.*?</h1>"
 TAG_RE = "<[^>]*>"
-# Named/numeric entities decoded in this order; "&amp;" must stay last so
-# that "&amp;lt;" becomes the text "&lt;", not "<".
-HTML_ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", "\u00a0"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-]
+# Character references: decimal, hexadecimal and named ones (HTML 4 names, from the standard library).
+# "&amp;" is decoded last, so that "&amp;lt;" becomes the text "&lt;", not "<".
+ENTITY_RE = "&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+NAMED_ENTITIES = {name: chr(point) for name, point in sorted(name2codepoint.items()) if name != "amp"} | {"apos": "'"}
 
 # --- fixed values: entity extraction rules of the link contract ---
 URL_EXTENSION_RE = "(?i)\\.(html?|php|aspx?)$"

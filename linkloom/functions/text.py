@@ -19,10 +19,24 @@ def collapse_ws(c: Column) -> Column:
     return F.regexp_replace(c, P.ASCII_SPACE_RUN, " ")
 
 
+def _reference_text(ref: Column) -> Column:
+    """Text of a character reference without ``&`` and ``;`` (NULL if unknown)."""
+    names = F.create_map(*[F.lit(x) for pair in P.NAMED_ENTITIES.items() for x in pair])
+    hexa = F.when(ref.rlike("^#[xX]"), F.substring(ref, 3, 6)).when(
+        F.startswith(ref, F.lit("#")), F.conv(F.substring(ref, 2, 7), 10, 16))
+    point = F.conv(hexa, 16, 10).cast("int")
+    text = F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")
+    valid = (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    return F.when(hexa.isNotNull(), F.when(valid, text)).otherwise(F.try_element_at(names, ref))
+
+
 def decode_entities(c: Column) -> Column:
-    for entity, text in P.HTML_ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(text))
-    return c
+    """Named and numeric character references -> text; unknown ones stay. Texts without ``&`` skip it."""
+    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(P.ENTITY_RE), F.lit(1)))
+    decoded = F.aggregate(refs, c, lambda acc, ref: F.replace(
+        acc, F.concat(F.lit("&"), ref, F.lit(";")),
+        F.coalesce(_reference_text(ref), F.concat(F.lit("&"), ref, F.lit(";")))))
+    return F.when(F.instr(c, "&") > 0, F.replace(decoded, F.lit("&amp;"), F.lit("&"))).otherwise(c)
 
 
 def html_text(c: Column) -> Column:

@@ -37,6 +37,8 @@ def suggestion_audit(sugg: DataFrame, corpus: DataFrame, k: int = 5,
     cat = corpus.select(F.col("url").alias("target_url"), F.lit(True).alias("_known")).distinct()
     src = blank_fill(corpus.select("page_id", F.col("url").alias("source_url"), "content"),
                      cols=("content",))
+    # Only the audited sources' texts are moved.
+    src = src.join(sugg.select("source_url").distinct(), "source_url", "left_semi")
     # A URL held by several pages is checked against its first page
     # (min_by is a partial aggregate: no group is ever collected).
     src = src.groupBy("source_url").agg(F.min_by("content", "page_id").alias("_content"))

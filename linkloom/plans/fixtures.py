@@ -17,14 +17,33 @@ from linkloom.sources.html import corpus_from_html, corpus_with_gaps
 from linkloom.sources.tables import read_table
 
 
+def pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages -> corpus, lazily: a query that reads headings never touches the text."""
+    return corpus_from_html(read_table(spark, sf_dir, "pages"))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages -> corpus, extracted once and written to the checkpoint folder
-    (later plans read it several times; the HTML regexes run once)."""
-    return materialize(corpus_from_html(read_table(spark, sf_dir, "pages")), "corpus")
+    """The corpus written to the checkpoint folder, for plans that read the text several times
+    (the HTML regexes run once)."""
+    return materialize(pages_corpus(spark, sf_dir), "corpus")
+
+
+def page_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with hidden text, a second or nested article, another main element, and character
+    references, by ``page_id % 6``."""
+    k, html = F.col("page_id") % 6, F.col("html")
+    swap = lambda c, *pairs: swap(F.replace(c, F.lit(pairs[0]), F.lit(pairs[1])), *pairs[2:]) if pairs else c
+    return read_table(spark, sf_dir, "pages").withColumn("html", (
+        F.when(k == 1, swap(html, "</article>", "<script>var hidden = 1 < 2;</script><!-- note --></article>"))
+         .when(k == 2, swap(html, "</article>", "</article><article><p>second &#8211; caf&eacute;</p></article>"))
+         .when(k == 3, swap(html, "<article", "<main", "</article>", "</main>"))
+         .when(k == 4, swap(html, "<article", "<div", "</article>", "</div>"))
+         .when(k == 5, swap(html, "</article>", "<article>nested</article> tail &#x2013; &amp;lt; &nosuch;</article>"))
+         .otherwise(html)))
 
 
 def corpus_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_with_gaps(corpus(spark, sf_dir))
+    return corpus_with_gaps(pages_corpus(spark, sf_dir))
 
 
 def corpus_read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,5 +175,5 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-__all__ = ["corpus", "corpus_gaps", "corpus_read", "suggestions", "responses",
+__all__ = ["pages_corpus", "page_variants", "corpus", "corpus_gaps", "corpus_read", "suggestions", "responses",
            "run_events", "late_events", "documents"]

@@ -21,8 +21,10 @@ from linkloom.operators import stats as ST
 from linkloom.operators.ordinal import with_ordinal
 from linkloom.operators.relevance import topic_relevance
 from linkloom.plans import fixtures as FX
+from linkloom.plans.linking_run import link_requests, resume, run, stored_suggestions
 from linkloom.session import scratch
 from linkloom.sources import files as FI
+from linkloom.sources.html import corpus_from_html
 
 AS_OF = "2024-01-31 00:00:00"   # F2 reference time (a parameter, never the clock)
 TOP_K = 3                        # L10 demo cap (L11 uses the default 5)
@@ -31,12 +33,15 @@ REQUEST_CANDIDATES = 10          # P8 candidates per request
 
 # ------------------------------------------------------------------ sources
 def q_corpus_from_html(spark, sf):
-    return FX.corpus(spark, sf)
+    return corpus_from_html(FX.page_variants(spark, sf))
 
 
 def q_corpus_scan(spark, sf):
+    """One folder whose files order their columns differently."""
     path = scratch(spark, "corpus-csv")
-    FI.write_corpus(FX.corpus_gaps(spark, sf), path)
+    pages = FX.corpus_gaps(spark, sf)
+    FI.write_corpus(pages.where("page_id % 2 = 0"), f"{path}/a")
+    FI.write_corpus(pages.where("page_id % 2 = 1"), f"{path}/b", headers=["Content", "Meta Title", "H1", "URL"])
     return FI.read_corpus(spark, path).select("url", "h1", "meta_title", "content")
 
 
@@ -52,19 +57,16 @@ def q_suggestions_reload(spark, sf):
 
 
 def q_resume_append(spark, sf):
-    """K3 + U1/U2 + A8: a first run stores the first half of the pages'
-    suggestions; a re-run over all pages appends only sources not stored."""
+    """K3 + U1/U2 + A8: a run over the first half of the pages, resumed over all of them, and resumed
+    again with nothing left."""
     corpus = FX.corpus(spark, sf)
-    path = scratch(spark, "results")
-    ordered = with_ordinal(corpus.select("page_id", "url"), ["page_id"], "page_no")
-    half = corpus.count() // 2
-    first = ordered.where(F.col("page_no") <= F.lit(half)).select(F.col("url").alias("source_url"))
-    sugg = L.link_suggestions(corpus)
-    FI.append_results(sugg.join(first, "source_url", "left_semi"), "run1", path)
-    stored = spark.read.parquet(path)
-    fresh = sugg.join(stored.select("source_url").distinct(), "source_url", "left_anti")
-    FI.append_results(fresh, "run2", path)
-    return spark.read.parquet(path).drop("run_id")
+    store = scratch(spark, "run")
+    ordered = with_ordinal(corpus.select("page_id"), ["page_id"], "page_no")
+    half = ordered.where(F.col("page_no") <= F.lit(corpus.count() // 2)).select("page_id")
+    run(corpus.join(half, "page_id", "left_semi"), store, "run1", AS_OF, catalogue=corpus)
+    resume(corpus, store, "run1", AS_OF, catalogue=corpus)
+    resume(corpus, store, "run1", AS_OF, catalogue=corpus)
+    return stored_suggestions(spark, store).drop("run_id")
 
 
 def q_job_records(spark, sf):
@@ -76,10 +78,6 @@ def q_job_records(spark, sf):
         F.create_map(F.lit("max_suggestions_per_page"), F.lit("5"),
                      F.lit("api_key"), F.lit("secret")).alias("config"))
     FI.write_job_records(jobs, path)
-    # A zero-byte file and a half-written record, as a crash would leave them
-    # (written through the Hadoop FileSystem, so any shared folder works).
-    FI.write_raw_file(spark, f"{path}/job_empty.json", b"")
-    FI.write_raw_file(spark, f"{path}/job_broken.json", b'{"incomplete": ')
     return FI.read_job_records(spark, path).select("job_id", "status", "total_pages",
                                                    "current_page")
 
@@ -128,22 +126,9 @@ def q_catalogue_blocks(spark, sf):
 
 
 def q_link_requests(spark, sf):
-    corpus = FX.corpus(spark, sf)
-    p = L.LinkParams(k=REQUEST_CANDIDATES)
-    ranked = L.ranked_links(corpus, p)
-    # At most REQUEST_CANDIDATES rows per source: a bounded collect.
-    cands = ranked.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("n_candidates"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "target_url"))),
-                                 lambda x: x["target_url"]), "\n").alias("candidates"))
-    src = E.blank_fill(corpus).select(F.col("page_id").alias("source_id"),
-                                      F.col("url").alias("source_url"), "h1", "meta_title",
-                                      F.length("content").cast("long").alias("content_chars"))
-    return src.join(cands, "source_id", "left").select(
-        "source_url", "h1", "meta_title", "content_chars",
-        F.coalesce(F.col("n_candidates"), F.lit(0)).cast("long").alias("n_candidates"),
-        F.coalesce(F.col("candidates"), F.lit("")).alias("candidates"),
-        F.lit(5).cast("long").alias("k"))
+    r = link_requests(FX.corpus(spark, sf), candidates=REQUEST_CANDIDATES)
+    lines = F.transform("candidates", lambda c: F.concat_ws(" | ", c["target_url"], c["h1"], c["meta_title"]))
+    return r.withColumn("candidates", F.array_join(lines, "\n"))
 
 
 def q_content_head_words(spark, sf):
@@ -157,7 +142,7 @@ def q_content_head_chars(spark, sf):
 
 
 def _ordered_pages(spark, sf):
-    c = FX.corpus(spark, sf).select("page_id", "url")
+    c = FX.pages_corpus(spark, sf).select("page_id", "url")
     o = with_ordinal(c, ["page_id"], "page_no")
     return o.withColumn("total_pages", F.lit(c.count()).cast("long"))
 
@@ -170,7 +155,7 @@ def q_remaining_pages(spark, sf):
 
 def q_progress_series(spark, sf):
     """Progress reported while resuming from that checkpoint."""
-    c = FX.corpus(spark, sf).select("page_id")
+    c = FX.pages_corpus(spark, sf).select("page_id")
     total = c.count()
     return ST.progress_series(with_ordinal(c, ["page_id"], "page_no"), total // 2, total)
 
@@ -324,7 +309,7 @@ def q_job_progress(spark, sf):
 
 # ---------------------------------------------------- windows / sorts (W, O)
 def q_page_ordinal(spark, sf):
-    return with_ordinal(FX.corpus(spark, sf).select("page_id"), ["page_id"], "page_no")
+    return with_ordinal(FX.pages_corpus(spark, sf).select("page_id"), ["page_id"], "page_no")
 
 
 def q_job_latest(spark, sf):

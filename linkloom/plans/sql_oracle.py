@@ -8,12 +8,17 @@ from __future__ import annotations
 
 # Fixed values, written out: a wrong value in the code under test must not pass on both sides.
 class P:
-    ARTICLE_RE = '(?is)<article[^>]*>(.*?)</article>'
+    HIDDEN_RE = '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>'
+    ARTICLE_RE = '(?is)<article(?:\\s[^>]*)?>(.*)</article>'
+    MAIN_RE = '(?is)<main(?:\\s[^>]*)?>(.*)</main>'
+    BODY_RE = '(?is)<body(?:\\s[^>]*)?>(.*)</body>'
     ASCII_SPACE_RUN = '[ \\t\\n\\x0B\\f\\r]+'
     CLAUSE_END_CHARS = ['.', '!', '?', ';', ':', ',']
     H1_ELEMENT_RE = '(?is)<h1[^>]*>.*?</h1>'
     H1_RE = '(?is)<h1[^>]*>(.*?)</h1>'
-    HTML_ENTITIES = [('&lt;', '<'), ('&gt;', '>'), ('&quot;', '"'), ('&#39;', "'"), ('&nbsp;', '\xa0'), ('&copy;', '©'), ('&middot;', '·'), ('&amp;', '&')]
+    HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"),
+                     ("&middot;", "\u00b7"), ("&eacute;", "\u00e9"), ("&#8211;", "\u2013"), ("&#x2013;", "\u2013"),
+                     ("&amp;", "&")]
     NON_WORD = '[^\\p{L}\\p{N}]'
     NULL_MARKERS = ['', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null']
     OUTER_NON_WORD = '\\A[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+\\z'
@@ -55,12 +60,31 @@ def tokens(x: str) -> str:
     return f"string_split({py_strip(collapse_ws(x))}, ' ')"
 
 
-CORPUS = f"""
-corpus AS (
-  SELECT page_id, url,
-    nullif({html_text(f"regexp_extract(html, {q(P.H1_RE)}, 1)")}, '') AS h1,
-    nullif({html_text(f"regexp_extract(html, {q(P.TITLE_RE)}, 1)")}, '') AS meta_title,
-    {html_text(f"regexp_replace(regexp_extract(html, {q(P.ARTICLE_RE)}, 1), {q(P.H1_ELEMENT_RE)}, ' ', 'g')")} AS content
+def corpus_cte(src: str, name: str = "corpus") -> str:
+    main = "CASE " + " ".join(
+        f"WHEN regexp_matches(shown, {q(r)}) THEN regexp_extract(shown, {q(r)}, 1)"
+        for r in (P.ARTICLE_RE, P.MAIN_RE, P.BODY_RE)) + " ELSE '' END"
+    h1 = html_text(f"regexp_extract(shown, {q(P.H1_RE)}, 1)")
+    title = html_text(f"regexp_extract(shown, {q(P.TITLE_RE)}, 1)")
+    content = html_text(f"regexp_replace({main}, {q(P.H1_ELEMENT_RE)}, ' ', 'g')")
+    return f"""
+{name} AS (
+  SELECT page_id, url, nullif({h1}, '') AS h1, nullif({title}, '') AS meta_title, {content} AS content
+  FROM (SELECT page_id, url, regexp_replace(html, {q(P.HIDDEN_RE)}, ' ', 'g') AS shown FROM {src})
+)"""
+
+
+CORPUS = corpus_cte("pages")
+
+PAGE_VARIANTS = """
+page_variants AS (
+  SELECT page_id, url, CASE page_id % 6
+    WHEN 1 THEN replace(html, '</article>', '<script>var hidden = 1 < 2;</script><!-- note --></article>')
+    WHEN 2 THEN replace(html, '</article>', '</article><article><p>second &#8211; caf&eacute;</p></article>')
+    WHEN 3 THEN replace(replace(html, '<article', '<main'), '</article>', '</main>')
+    WHEN 4 THEN replace(replace(html, '<article', '<div'), '</article>', '</div>')
+    WHEN 5 THEN replace(html, '</article>', '<article>nested</article> tail &#x2013; &amp;lt; &nosuch;</article>')
+    ELSE html END AS html
   FROM pages
 )"""
 
@@ -444,7 +468,7 @@ FROM (
 ) GROUP BY page_id"""
 
 ORACLE = {
-    "corpus_from_html": _w(*_C, body="SELECT * FROM corpus"),
+    "corpus_from_html": _w(PAGE_VARIANTS, corpus_cte("page_variants"), body="SELECT * FROM corpus"),
     "corpus_scan": _w(*_CR, body="SELECT url, h1, meta_title, content FROM corpus_read"),
     "null_markers": _w(*_CR, body="SELECT page_id, h1, meta_title FROM corpus_read"),
     "suggestions_reload": _w(*_C, *_LS, body=f"SELECT source_url, anchor_text, target_url, entity_match "
@@ -467,14 +491,15 @@ ORACLE = {
                                      f"FROM corpus_read"),
     "catalogue_blocks": _w(*_CR, body=f"SELECT page_no, {_BLOCK} AS block FROM (SELECT row_number() OVER "
                                        f"(ORDER BY page_id) AS page_no, url, {_BF} FROM corpus_read)"),
-    "link_requests": _w(*_C, *link_ctes("corpus"), body=f"""
+    "link_requests": _w(*_C, *link_ctes("corpus"), body="""
 SELECT c.url AS source_url, coalesce(c.h1, '') AS h1, coalesce(c.meta_title, '') AS meta_title,
-       CAST(length(coalesce(c.content, '')) AS BIGINT) AS content_chars,
-       CAST(coalesce(r.n_candidates, 0) AS BIGINT) AS n_candidates, coalesce(r.candidates, '') AS candidates,
-       CAST(5 AS BIGINT) AS k
+       coalesce(c.content, '') AS content, CAST(least(coalesce(r.found, 0), 10) AS BIGINT) AS n_candidates,
+       coalesce(r.candidates, '') AS candidates, coalesce(r.found, 0) > 10 AS more_candidates, CAST(5 AS BIGINT) AS k
 FROM corpus c LEFT JOIN (
-  SELECT source_id, count(*) AS n_candidates, string_agg(target_url, chr(10) ORDER BY rank) AS candidates
-  FROM ranked WHERE rank <= 10 GROUP BY source_id) r ON r.source_id = c.page_id"""),
+  SELECT source_id, count(*) AS found,
+         string_agg(target_url || ' | ' || coalesce(t.h1, '') || ' | ' || coalesce(t.meta_title, ''), chr(10) ORDER BY rank)
+           FILTER (WHERE rank <= 10) AS candidates
+  FROM ranked JOIN corpus t ON t.page_id = target_id WHERE rank <= 11 GROUP BY source_id) r ON r.source_id = c.page_id"""),
     "content_head_words": f"SELECT doc_id, array_to_string(list_slice({tokens('text')}, 1, 500), ' ') AS head "
                           f"FROM documents",
     "content_head_chars": "SELECT doc_id, left(text, 500) AS head FROM documents",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,29 +53,64 @@ def null_markers(df: DataFrame, cols: list[str]) -> DataFrame:
                        else F.col(c) for c in df.columns])
 
 
-def read_corpus(spark: SparkSession, path: str, page_numbers: bool = False) -> DataFrame:
-    """Read a page CSV (columns by name, any order, extra columns
+def _header_groups(spark: SparkSession, path: str) -> list[tuple[tuple[str, ...], list[str]]]:
+    """The files under ``path`` (a file, folder or glob) by header line. Only first lines are read."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    groups: dict[tuple[str, ...], list[str]] = {}
+    todo = list(fs.globStatus(root) or [])
+    if not todo:
+        raise FileNotFoundError(path)
+    while todo:
+        status = todo.pop()
+        name = status.getPath().getName()
+        if name.startswith(("_", ".")) and not status.getPath().equals(root):
+            continue
+        if status.isDirectory():
+            todo += list(fs.listStatus(status.getPath()))
+        elif status.getLen():
+            stream = fs.open(status.getPath())
+            try:
+                line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+            finally:
+                stream.close()
+            header = tuple(next(csv.reader([line.removeprefix("\ufeff")]), []))
+            groups.setdefault(header, []).append(status.getPath().toString())
+    return sorted((h, sorted(files)) for h, files in groups.items())
+
+
+def read_corpus(spark: SparkSession, path: str, page_numbers: bool = False, multi_line: bool = True) -> DataFrame:
+    """Read page CSVs (columns by name, any order, extra columns
     allowed, everything text), check the four required columns, map missing
     markers to NULL. Returns ``(url, h1, meta_title, content)`` plus the
-    file's other columns.
+    files' other columns.
+
+    The files of a folder may order their columns differently: files with one
+    header are read together, by that header, and the groups are united by name.
+    ``multi_line=False`` reads files without line feeds inside a field in splits.
 
     ``page_numbers=True`` adds ``page_no``: 1-based position in input order
     (files by path, rows in file order). Multi-line CSV files are never
     split, so a per-partition row id orders the rows of one file; the W1
     ordinal then numbers them without a single-task window."""
-    raw = spark.read.options(**_CSV_READ).csv(path)
-    if page_numbers:
-        raw = raw.select("*", F.col("_metadata.file_path").alias("_file"),
-                         F.monotonically_increasing_id().alias("_row"))
-    alias = {"Content (First 500 chars)": "Content"}
-    for old, new in alias.items():
-        if old in raw.columns and new not in raw.columns:
-            raw = raw.withColumnRenamed(old, new)
-    missing = missing_columns(raw)
-    if missing:
-        raise MissingColumnsError(missing)
     names = dict(zip(P.CORPUS_HEADERS, ["url", "h1", "meta_title", "content"]))
-    out = raw.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in raw.columns])
+    options = _CSV_READ | {"multiLine": str(multi_line or page_numbers).lower()}
+    out = None
+    for _, files in _header_groups(spark, path):
+        raw = spark.read.options(**options).csv(files)
+        if page_numbers:
+            raw = raw.select("*", F.col("_metadata.file_path").alias("_file"),
+                             F.monotonically_increasing_id().alias("_row"))
+        if "Content (First 500 chars)" in raw.columns and "Content" not in raw.columns:
+            raw = raw.withColumnRenamed("Content (First 500 chars)", "Content")
+        missing = missing_columns(raw)
+        if missing:
+            raise MissingColumnsError(missing)
+        part = raw.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in raw.columns])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise MissingColumnsError(list(P.CORPUS_HEADERS))
     out = null_markers(out, list(names.values()))
     if page_numbers:
         from linkloom.operators.ordinal import with_ordinal
@@ -81,10 +118,10 @@ def read_corpus(spark: SparkSession, path: str, page_numbers: bool = False) -> D
     return out
 
 
-def write_corpus(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """K2: corpus -> CSV with the reference's headers."""
-    out = df.select(F.col("url").alias("URL"), F.col("h1").alias("H1"),
-                    F.col("meta_title").alias("Meta Title"), F.col("content").alias("Content"))
+def write_corpus(df: DataFrame, path: str, single_file: bool = False, headers: list[str] | None = None) -> None:
+    """K2: corpus -> CSV with the reference's headers (``headers``: the same in another order)."""
+    columns = dict(zip(P.CORPUS_HEADERS, ["url", "h1", "meta_title", "content"]))
+    out = df.select(*[F.col(columns[h]).alias(h) for h in headers or P.CORPUS_HEADERS])
     if single_file:
         out = out.coalesce(1)
     out.write.mode("overwrite").options(**_CSV_WRITE).csv(path)
@@ -117,9 +154,14 @@ def read_suggestions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFr
 
 def append_results(df: DataFrame, run_id: str, path: str) -> None:
     """K3: append one run's rows, partitioned by ``run_id`` (linear I/O;
-    the reference rewrites the whole file after every page)."""
-    (df.withColumn("run_id", F.lit(run_id))
-       .write.mode("append").partitionBy("run_id").parquet(path))
+    the reference rewrites the whole file after every page). Idempotent per
+    ``(run_id, source_url)``: sources that the run has stored are left as they are."""
+    spark = df.sparkSession
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run_id={run_id}")
+    if own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own):
+        stored = spark.read.parquet(own.toString()).select("source_url").distinct()
+        df = df.join(stored, "source_url", "left_anti")
+    df.write.mode("append").parquet(f"{path}/run_id={run_id}")
 
 
 def write_job_records(jobs: DataFrame, path: str) -> None:
@@ -133,28 +175,19 @@ def write_job_records(jobs: DataFrame, path: str) -> None:
     out.write.mode("overwrite").json(path)
 
 
-def write_raw_file(spark: SparkSession, path: str, data: bytes) -> None:
-    """Write bytes to ``path`` on whatever file system the path names."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(jpath, True)
-    try:
-        if data:
-            out.write(bytearray(data))
-    finally:
-        out.close()
-
-
-def read_job_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_job_records(spark: SparkSession, path: str) -> DataFrame:
     """Job records from a folder of ``*.json`` files. Empty files give
     no rows, unreadable records are dropped, ``.tmp`` files are ignored and
-    ``config.api_key`` is removed. ``multi_line=True`` reads one (indented)
-    JSON document per file, the reference's own job-file layout; the default
-    reads JSON lines as written by :func:`write_job_records`."""
-    df = (spark.read.schema(JOB_SCHEMA).option("mode", "PERMISSIVE")
-          .option("multiLine", "true" if multi_line else "false")
-          .option("columnNameOfCorruptRecord", "_corrupt_record")
-          .option("pathGlobFilter", "*.json").json(path))
-    df = df.where(F.col("_corrupt_record").isNull() & F.col("job_id").isNotNull())
-    return df.drop("_corrupt_record").withColumn(
+    ``config.api_key`` is removed. Files may hold JSON lines (as
+    :func:`write_job_records` writes them) or one indented document each (the
+    reference's own layout): a file without a readable line is read whole."""
+    def read(multi_line: bool) -> DataFrame:
+        df = (spark.read.schema(JOB_SCHEMA).option("mode", "PERMISSIVE").option("multiLine", str(multi_line).lower())
+              .option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*.json").json(path))
+        df = df.select("*", F.col("_metadata.file_path").alias("_file"))
+        return df.where(F.col("_corrupt_record").isNull() & F.col("job_id").isNotNull()).drop("_corrupt_record")
+
+    lines = read(False)
+    whole = read(True).join(lines.select("_file").distinct(), "_file", "left_anti")
+    return lines.unionByName(whole).drop("_file").withColumn(
         "config", F.map_filter("config", lambda k, v: k != F.lit("api_key")))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from linkloom.llm import text_arrays as ta
 from linkloom.llm.pretokens import byte_offsets, code_points, lower, pretokens
 
-MEMORY_WORDS = 1_500_000  # words a worker remembers before it starts anew (about 40 bytes each)
+MEMORY_WORDS = 800_000  # words a worker remembers before it starts anew (about 40 bytes each)
 _NONE = np.int64(1) << 40
 
 

@@ -31,7 +31,7 @@ from linkloom.plans.materialize import materialize
 
 END_ID = 0
 PART_BYTES = 16 << 20    # text bytes per part: one part is ordered in one task's memory
-PACK_BYTES = 4 << 20     # text bytes encoded and packed at once
+PACK_BYTES = 2 << 20     # text bytes encoded and packed at once
 BLOCK_IDS = 1 << 16      # ids per block (one document, if longer)
 
 # Decoding tables over the 256 control bytes: bytes of each of the four ids.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.text import shingle_words
 from linkloom.operators.entities import blank_fill, entity_rows
+from linkloom.operators.linking import measure
 from linkloom.plans.materialize import materialize
 
 
@@ -44,17 +45,26 @@ def topic_vectors(corpus: DataFrame, idf: DataFrame) -> DataFrame:
     return tf.join(idf, "w").select("page_id", "w", (F.col("tf") * F.col("idf")).alias("x"))
 
 
-def topic_relevance(pairs: DataFrame, corpus: DataFrame, digits: int = 6) -> DataFrame:
+def topic_relevance(pairs: DataFrame, corpus: DataFrame, digits: int = 6,
+                    broadcast_bytes: int = 256 << 20) -> DataFrame:
     """``pairs(source_id, target_id, ...)`` -> same rows plus ``relevance``
-    (cosine, rounded to ``digits``; 0 when either vector is empty)."""
+    (cosine, rounded to ``digits``; 0 when either vector is empty).
+
+    Only pages that occur in a pair get vectors. Frequent words are on every page, so the word table is
+    broadcast if its measured size allows; beyond it the join on words may be split at a hot word. For the
+    dot product a source keeps only words that occur in some topic; its norm is one full aggregate."""
     n_pages = corpus.count()            # a scalar, passed as a literal
     tf = materialize(content_tf(corpus), "content-tf")   # read twice below
-    idf = idf_table(tf, n_pages)
-    sv = content_vectors(tf, idf)
-    tv = topic_vectors(corpus, idf)
-    s_norm = sv.groupBy("page_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("ns"))
-    t_norm = tv.groupBy("page_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nt"))
+    idf = materialize(idf_table(tf, n_pages), "idf")
+    small = measure(idf)["bytes"] <= broadcast_bytes
+    hint = F.broadcast if small else (lambda df: df)
     keys = pairs.select("source_id", "target_id").distinct()
+    sources, targets = (keys.select(F.col(c).alias("page_id")).distinct() for c in ("source_id", "target_id"))
+    weights = content_vectors(tf.join(sources, "page_id", "left_semi"), hint(idf))
+    tv = topic_vectors(corpus.join(targets, "page_id", "left_semi"), hint(idf))
+    s_norm = weights.groupBy("page_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("ns"))
+    t_norm = tv.groupBy("page_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nt"))
+    sv = weights.join(hint(tv.select("w").distinct()), "w", "left_semi")
     dot = (keys.join(tv.select(F.col("page_id").alias("target_id"), "w", F.col("x").alias("xt")),
                      "target_id")
                .join(sv.select(F.col("page_id").alias("source_id"), "w", F.col("x").alias("xs")),

@@ -9,10 +9,11 @@
 * A query reads the lists whose centroids are within ``READ_RATIO`` of the nearest one.
 
 Largest inner product becomes smallest distance by one more component that gives all vectors the
-length of the longest. A list that the sample shows to be large, by its vectors or by its queries,
-is dealt out in parts, so that a very common vector fills many tasks, none of them with
-more than about ``PART_ROWS`` rows of either side. Scores are computed in double precision on the
-original vectors; each part returns its best for each query and a last step ranks them.
+length of the longest. Lists go to tasks in bundles, and a query once to each bundle that holds lists it
+reads. A bundle that the sample shows to be large, by its vectors or by its queries, is dealt out in
+parts, so that a very common vector fills many tasks, none of them with more than about ``PART_ROWS``
+rows of either side. Scores are computed in double precision on the original vectors; each part
+returns its best for each query and a last step ranks them.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ COPIES = 2
 COPY_RATIO = 1.02
 READ_RATIO = 1.15
 READ_ROWS = 400        # expected rows that a query reads at least
-PART_ROWS = 4096
+BUNDLE = 32            # lists that one task holds
+PART_ROWS = 16_384     # expected rows of a bundle (or of its queries) that one task takes
 BATCH = 512
 
 
@@ -47,8 +49,8 @@ class Index(NamedTuple):
     links: np.ndarray         # neighbours of each centroid
     entries: np.ndarray       # where searches begin
     rows: np.ndarray          # expected rows of each list
-    parts: np.ndarray         # parts of each list's vectors
-    query_parts: np.ndarray   # parts of each list's queries
+    parts: np.ndarray         # parts of each bundle's vectors
+    query_parts: np.ndarray   # parts of each bundle's queries
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -186,17 +188,21 @@ def build_index(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     lists = 1 if n <= SINGLE or not len(points) else int(min(MAX_LISTS, max(2, n // list_rows)))
     centroids = balanced_centroids(points, lists) if lists > 1 else np.zeros((1, width + 1), np.float32)
     links, entries = _graph(centroids)
-    one = np.ones(len(centroids), np.int64)
-    index = Index(width, longest, centroids, links, entries, one, one, one)
+    bundles = -(-len(centroids) // BUNDLE)
+    one = np.ones(bundles, np.int64)
+    index = Index(width, longest, centroids, links, entries, np.ones(len(centroids)), one, one)
     scale = n / max(len(points), 1)
-    held, asked = np.zeros(len(centroids)), np.zeros(len(centroids))
+    held = np.zeros(len(centroids))
     for i in range(0, len(points), BATCH):
         np.add.at(held, np.concatenate(copies(index, points[i:i + BATCH])), scale)
     index = index._replace(rows=held)
+    asked = np.zeros(bundles)
     asking = points[asks]
     for i in range(0, len(asking), BATCH):
-        np.add.at(asked, np.concatenate(reads(index, _asked(asking[i:i + BATCH]))), scale)
-    return index._replace(parts=np.maximum(1, np.ceil(held / PART_ROWS)).astype(np.int64),
+        for lists in reads(index, _asked(asking[i:i + BATCH])):
+            asked[np.unique(lists % bundles)] += scale
+    kept = np.bincount(np.arange(len(centroids)) % bundles, held, bundles)
+    return index._replace(parts=np.maximum(1, np.ceil(kept / PART_ROWS)).astype(np.int64),
                           query_parts=np.maximum(1, np.ceil(asked / PART_ROWS)).astype(np.int64))
 
 
@@ -208,31 +214,34 @@ def _asked(points: np.ndarray) -> np.ndarray:
 
 
 def _spread(table: DataFrame, index: Index, id_col: str, vec_col: str, asking: bool) -> DataFrame:
-    """Rows (list, part, query part, id, vector): once for each task that needs the vector."""
+    """Rows (bundle, part, query part, id, lists, vector): once for each task that needs the vector."""
     def run(batches):
         for batch in batches:
             rows, values = _valid(batch.column(1), index.width)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[rows]
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
             for i in range(0, len(rows), BATCH):
                 points = _extended(values[i:i + BATCH], index.longest)
-                lists = reads(index, _asked(points)) if asking else copies(index, points)
-                row = np.repeat(np.arange(len(points)), [len(x) for x in lists])
-                place = np.concatenate(lists)
-                own, others = ((index.query_parts, index.parts) if asking else (index.parts, index.query_parts))
-                mine = ids[i:i + BATCH][row] % own[place]
-                times = others[place]
-                row, place, mine = np.repeat(row, times), np.repeat(place, times), np.repeat(mine, times)
-                other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                part, query_part = (other, mine) if asking else (mine, other)
-                flat = values[i:i + BATCH][row]
+                out = [(bundle, row, np.sort(lists[lists % len(index.parts) == bundle]))
+                       for row, lists in enumerate(reads(index, _asked(points)) if asking else copies(index, points))
+                       for bundle in np.unique(lists % len(index.parts)).tolist()]
+                bundle = np.array([x[0] for x in out])
+                row = np.array([x[1] for x in out])
+                own, others = (index.query_parts, index.parts) if asking else (index.parts, index.query_parts)
+                mine = ids[i:i + BATCH][row] % own[bundle]
+                times = others[bundle]
+                again = np.repeat(np.arange(len(out)), times)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+                part, query_part = (other, mine[again]) if asking else (mine[again], other)
+                flat = values[i:i + BATCH][row[again]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(place.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(query_part.astype(np.int32)),
-                     pa.array(ids[i:i + BATCH][row].astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * index.width), pa.array(flat.reshape(-1)))],
-                    names=["list", "part", "query_part", "id", "vector"])
+                    [pa.array(bundle[again].astype(np.int32)), pa.array(part.astype(np.int32)),
+                     pa.array(query_part.astype(np.int32)), pa.array(ids[i:i + BATCH][row[again]]),
+                     pa.array([out[k][2].tolist() for k in again], pa.list_(pa.int32())),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(again) + 1, dtype=np.int32) * index.width), pa.array(flat.reshape(-1)))],
+                    names=["bundle", "part", "query_part", "id", "lists", "vector"])
 
     return table.select(F.col(id_col).cast("long").alias(id_col), vec_col).mapInArrow(
-        run, "list int, part int, query_part int, id long, vector array<double>")
+        run, "bundle int, part int, query_part int, id long, lists array<int>, vector array<double>")
 
 
 def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, top: int
@@ -278,17 +287,31 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20, id_col: str = "
                               F.col(id_col).cast("long").alias(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
     held = _spread(vectors, index, id_col, vec_col, False)
     asked = _spread(vectors.where(is_query), index, id_col, vec_col, True)
-    keys = ["list", "part", "query_part"]
+    keys = ["bundle", "part", "query_part"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         def arrays(table):
+            lists = table["lists"].combine_chunks()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            place = lists.flatten().to_numpy()
+            order = np.argsort(place, kind="stable")
             flat = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            return flat.reshape(-1, index.width), table["id"].to_numpy()
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), id_col: pa.array([], pa.int64()),
-                             "score": pa.array([], pa.float64())})
-        query, found, score = best_of(*arrays(right), *arrays(left), top)
-        return pa.table({"query_id": query, id_col: found, "score": score})
+            return flat.reshape(-1, index.width), table["id"].to_numpy(), place[order], row[order]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            vectors, ids, place, row = arrays(left)
+            queries, query_ids, wanted, asker = arrays(right)
+            for k in np.intersect1d(place, wanted):
+                v, q = row[slice(*np.searchsorted(place, [k, k + 1]))], asker[slice(*np.searchsorted(wanted, [k, k + 1]))]
+                found.append(best_of(queries[q], query_ids[q], vectors[v], ids[v], top))
+        query, near, score = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((near, -score, query))  # the bundle's best; a vector may stand in two of its lists
+        query, near, score = query[order], near[order], score[order]
+        new = np.ones(len(query), bool)
+        new[1:] = (query[1:] != query[:-1]) | (near[1:] != near[:-1]) | (score[1:] != score[:-1])
+        query, near, score = query[new], near[new], score[new]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < top
+        return pa.table({"query_id": query[keep], id_col: near[keep], "score": score[keep]})
 
     local = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(
         run, f"query_id long, `{id_col}` long, score double")

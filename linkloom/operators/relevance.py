@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.text import shingle_words
 from linkloom.operators.entities import blank_fill, entity_rows
-from linkloom.operators.linking import measure
+from linkloom.operators.linking import LinkParams, measure, ranked_links, with_anchors
 from linkloom.plans.materialize import materialize
 
 
@@ -79,3 +79,14 @@ def topic_relevance(pairs: DataFrame, corpus: DataFrame, digits: int = 6,
                  ).otherwise(F.lit(0.0))
     scored = scored.select("source_id", "target_id", F.round(cos, digits).alias("relevance"))
     return pairs.join(scored, ["source_id", "target_id"])
+
+
+def suggestions_with_relevance(corpus: DataFrame, p: LinkParams = LinkParams()) -> DataFrame:
+    """L11 with L2 as a reported column (never a rank key):
+    ``(source_url, anchor_text, target_url, entity_match, rank, relevance)``."""
+    ranked = ranked_links(corpus, p)    # a table: ranked once, read twice
+    relevance = topic_relevance(ranked.select("source_id", "target_id"), corpus)
+    return with_anchors(ranked, corpus).join(relevance, ["source_id", "target_id"]).select(
+        "source_url", F.col("anchor").alias("anchor_text"), "target_url",
+        F.concat(F.col("origin"), F.lit(": "), F.col("gram")).alias("entity_match"),
+        F.col("rank").cast("long").alias("rank"), "relevance")

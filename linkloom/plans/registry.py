@@ -19,7 +19,7 @@ from linkloom.operators import responses as R
 from linkloom.operators import runs as RU
 from linkloom.operators import stats as ST
 from linkloom.operators.ordinal import with_ordinal
-from linkloom.operators.relevance import topic_relevance
+from linkloom.operators.relevance import suggestions_with_relevance
 from linkloom.plans import fixtures as FX
 from linkloom.plans.linking_run import link_requests, resume, run, stored_suggestions
 from linkloom.session import scratch
@@ -247,10 +247,7 @@ def q_link_suggestions(spark, sf):
 
 
 def q_topic_relevance(spark, sf):
-    corpus = FX.corpus(spark, sf)
-    r = L.ranked_links(corpus)
-    return topic_relevance(r.select("source_id", "target_id", "source_url", "target_url"), corpus) \
-        .select("source_url", "target_url", "relevance")
+    return suggestions_with_relevance(FX.corpus(spark, sf))
 
 
 def _fixture_sugg(spark, sf):

@@ -615,14 +615,14 @@ tr_ew AS ({_word_rows('l_ents', 'entity')}),
 tr_tv AS (SELECT page_id, w, count(*) * any_value(idf) AS x FROM tr_ew JOIN tr_idf USING (w) GROUP BY page_id, w),
 tr_ns AS (SELECT page_id, sqrt(sum(x * x)) AS ns FROM tr_sv GROUP BY page_id),
 tr_nt AS (SELECT page_id, sqrt(sum(x * x)) AS nt FROM tr_tv GROUP BY page_id),
-tr_keys AS (SELECT DISTINCT source_id, target_id, source_url, target_url FROM ranked WHERE rank <= 5),
+tr_keys AS (SELECT source_id, target_id, source_url, target_url, anchor, origin, gram, rank FROM ranked WHERE rank <= 5),
 tr_dot AS (
   SELECT k.source_id, k.target_id, sum(s.x * t.x) AS dot
   FROM tr_keys k JOIN tr_tv t ON t.page_id = k.target_id
   JOIN tr_sv s ON s.page_id = k.source_id AND s.w = t.w
   GROUP BY k.source_id, k.target_id
 )""", body="""
-SELECT k.source_url, k.target_url,
+SELECT k.source_url, k.anchor AS anchor_text, k.target_url, k.origin || ': ' || k.gram AS entity_match, k.rank,
        round(CASE WHEN ns > 0 AND nt > 0 THEN coalesce(d.dot, 0.0) / (ns * nt) ELSE 0.0 END, 6) AS relevance
 FROM tr_keys k
 LEFT JOIN tr_dot d ON d.source_id = k.source_id AND d.target_id = k.target_id

@@ -39,12 +39,6 @@ def decode_entities(c: Column) -> Column:
     return F.when(F.instr(c, "&") > 0, F.replace(decoded, F.lit("&amp;"), F.lit("&"))).otherwise(c)
 
 
-def html_text(c: Column) -> Column:
-    """Fragment of HTML -> plain text: tags become spaces, entities decoded,
-    whitespace collapsed, stripped."""
-    return py_strip(collapse_ws(decode_entities(F.regexp_replace(c, P.TAG_RE, " "))))
-
-
 def empty_to_null(c: Column) -> Column:
     return F.when(c != F.lit(""), c)
 

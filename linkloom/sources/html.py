@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import patterns as P
-from linkloom.functions.text import empty_to_null, html_text
+from linkloom.functions.text import collapse_ws, decode_entities, empty_to_null, py_strip
 
 
 def corpus_from_html(pages: DataFrame) -> DataFrame:
@@ -22,15 +22,20 @@ def corpus_from_html(pages: DataFrame) -> DataFrame:
     Missing elements give NULL (so A2/A3 can count them); ``content`` is the
     main text without its heading.
     """
-    html = F.regexp_replace(F.col("html"), P.HIDDEN_RE, " ")
-    article = F.coalesce(*[F.regexp_extract(F.when(html.rlike(r), html), r, 1) for r in P.MAIN_TEXT_RES], F.lit(""))
-    return pages.select(
-        F.col("page_id"),
-        F.col("url"),
-        empty_to_null(html_text(F.regexp_extract(html, P.H1_RE, 1))).alias("h1"),
-        empty_to_null(html_text(F.regexp_extract(html, P.TITLE_RE, 1))).alias("meta_title"),
-        html_text(F.regexp_replace(article, P.H1_ELEMENT_RE, " ")).alias("content"),
-    )
+    # One projection per step: each step's expressions read the columns of the one before, so that
+    # no regex is evaluated twice.
+    keys = ["page_id", "url"]
+    shown = pages.select(*keys, F.regexp_replace("html", P.HIDDEN_RE, " ").alias("shown"))
+    html = F.col("shown")
+    main = F.coalesce(*[F.when(html.rlike(r), F.regexp_extract(html, r, 1)) for r in P.MAIN_TEXT_RES],
+                      F.when(html.isNotNull(), F.lit("")))
+    parts = shown.select(*keys, F.regexp_extract(html, P.H1_RE, 1).alias("h1"),
+                         F.regexp_extract(html, P.TITLE_RE, 1).alias("meta_title"), main.alias("content"))
+    parts = parts.withColumn("content", F.regexp_replace("content", P.H1_ELEMENT_RE, " "))
+    for step in (lambda c: F.regexp_replace(c, P.TAG_RE, " "), decode_entities, lambda c: py_strip(collapse_ws(c))):
+        parts = parts.select(*keys, *[step(F.col(c)).alias(c) for c in ("h1", "meta_title", "content")])
+    return parts.select(*keys, empty_to_null(F.col("h1")).alias("h1"),
+                        empty_to_null(F.col("meta_title")).alias("meta_title"), "content")
 
 
 def corpus_with_gaps(corpus: DataFrame) -> DataFrame:

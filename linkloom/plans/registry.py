@@ -212,7 +212,7 @@ def q_phrase_links(spark, sf):
 
 
 def _pairs(spark, sf):
-    return L.shortlist(FX.corpus(spark, sf))
+    return L.all_pairs(FX.corpus(spark, sf))
 
 
 def q_one_link_per_target(spark, sf):
@@ -222,8 +222,7 @@ def q_one_link_per_target(spark, sf):
 
 
 def q_near_duplicate_pairs(spark, sf):
-    corpus = FX.corpus(spark, sf)
-    return L.near_duplicate_pairs(L.shortlist(corpus), L.page_sketches(corpus))
+    return L.all_near_duplicates(FX.corpus(spark, sf))
 
 
 def q_link_priority(spark, sf):

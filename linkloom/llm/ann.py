@@ -3,10 +3,12 @@
 * A bounded sample of the vectors (``SAMPLE`` by hash of the id) gives balanced cluster
   centroids: clusters well over the mean are split, small ones dropped, between k-means rounds.
 * The centroids are linked to their nearest ones; that graph, held in each task, is searched
-  best-first for every vector and every query (its size is bounded by ``MAX_LISTS``).
+  best-first for every vector (its size is bounded by ``MAX_LISTS``).
 * Every vector goes to the list of its nearest centroid; a boundary vector also to others
   about as near (within ``COPY_RATIO``, ``COPIES`` lists at most; the first is always there).
-* A query reads the lists whose centroids are within ``READ_RATIO`` of the nearest one.
+* A query is compared with all centroids and reads the lists whose centroids are within ``READ_RATIO`` of
+  the nearest one, or farther if the sample shows that fewer than ``READ_SHARE`` of the neighbours would be
+  read, however many lists that are.
 
 Largest inner product becomes smallest distance by one more component that gives all vectors the
 length of the longest. Lists go to tasks in bundles, and a query once to each bundle that holds lists it
@@ -32,10 +34,12 @@ MAX_LISTS = 2048
 SINGLE = 2048          # tables up to this size have one list
 ROUNDS = 8             # of k-means
 NEIGHBOURS = 24        # links of a centroid
-BEAM = 256             # lists kept by a search
+BEAM = 256             # lists kept by a search of the graph unless told
 COPIES = 2
 COPY_RATIO = 1.02
 READ_RATIO = 1.15
+READ_SHARE = 0.95      # of the neighbours that the sample shows, to be in the lists that are read
+PROBES = 512           # sampled vectors whose neighbours are looked up for that
 READ_ROWS = 400        # expected rows that a query reads at least
 BUNDLE = 32            # lists that one task holds
 PART_ROWS = 16_384     # expected rows of a bundle (or of its queries) that one task takes
@@ -51,6 +55,7 @@ class Index(NamedTuple):
     rows: np.ndarray          # expected rows of each list
     parts: np.ndarray         # parts of each bundle's vectors
     query_parts: np.ndarray   # parts of each bundle's queries
+    ratio: float = 0.0        # distance ratio that the sample asks for, if above READ_RATIO
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,14 +134,43 @@ def copies(index: Index, vectors: np.ndarray) -> list[np.ndarray]:
 
 
 def reads(index: Index, vectors: np.ndarray) -> list[np.ndarray]:
-    """Lists that each query reads: by distance ratio, and as many as hold ``READ_ROWS`` expected rows."""
-    lists, far = search(index, vectors)
+    """Lists that each query reads: by distance ratio, and as many as hold ``READ_ROWS`` expected rows.
+
+    All centroids are compared (``MAX_LISTS`` at most, one matrix product): a search of the graph misses
+    some that are within the ratio.
+    """
+    ratio = max(READ_RATIO, index.ratio)
+    far = np.sqrt(_distances(vectors, index.centroids))
+    lists = np.argsort(far, 1, kind="stable")
+    far = np.take_along_axis(far, lists, 1)
     rows = np.cumsum(index.rows[lists], 1) - index.rows[lists]
-    keep = (far <= READ_RATIO * far[:, :1]) | (rows < READ_ROWS)
-    keep &= np.isfinite(far)
+    keep = (far <= ratio * far[:, :1]) | (rows < READ_ROWS)
     return [places[some] for places, some in zip(lists, keep)]
 
 
+def needed_ratio(index: Index, points: np.ndarray, top: int, scale: float) -> float:
+    """Distance ratio within which ``READ_SHARE`` of the neighbours of sampled vectors lie.
+
+    A vector's ``top`` nearest are about its ``top / scale`` nearest in a sample of one in ``scale``.
+    """
+    probes = np.linspace(0, len(points) - 1, min(PROBES, len(points))).astype(int)
+    near = min(max(1, round(top / scale)), len(points) - 1)
+    if near < 1 or len(index.centroids) == 1:
+        return 0.0
+    needed = []
+    for i in range(0, len(probes), 64):
+        asked = _asked(points[probes[i:i + 64]])
+        score = asked @ points.T
+        score[np.arange(len(asked)), probes[i:i + 64]] = -np.inf
+        best = np.argpartition(-score, near - 1, axis=1)[:, :near]
+        far = np.sqrt(_distances(asked, index.centroids))
+        for row, found in enumerate(best):
+            # A neighbour is met in the nearest of its lists.
+            met = np.array([far[row, lists].min() for lists in copies(index, points[found])])
+            needed.append(met / max(far[row].min(), 1e-12))
+    return float(np.quantile(np.concatenate(needed), READ_SHARE)) * (1 + 1e-6)
+
+
 def _extended(vectors: np.ndarray, longest: float) -> np.ndarray:
     rest = np.maximum(longest ** 2 - (vectors.astype(np.float64) ** 2).sum(1), 0)
     return np.concatenate([vectors, np.sqrt(rest)[:, None]], 1).astype(np.float32)
@@ -173,7 +207,7 @@ def _stats(vectors: DataFrame, vec_col: str) -> tuple[int, int, float]:
 
 
 def build_index(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding",
-                sample: int = SAMPLE, list_rows: int = LIST_ROWS) -> Index | None:
+                sample: int = SAMPLE, list_rows: int = LIST_ROWS, top: int = 20) -> Index | None:
     """Fit centroids and their graph on a bounded sample; None without a usable vector."""
     width, n, longest = _stats(vectors, vec_col)
     if not n:
@@ -195,7 +229,7 @@ def build_index(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     held = np.zeros(len(centroids))
     for i in range(0, len(points), BATCH):
         np.add.at(held, np.concatenate(copies(index, points[i:i + BATCH])), scale)
-    index = index._replace(rows=held)
+    index = index._replace(rows=held, ratio=needed_ratio(index, points, top, scale))
     asked = np.zeros(bundles)
     asking = points[asks]
     for i in range(0, len(asking), BATCH):
@@ -281,7 +315,7 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20, id_col: str = "
     query if their vectors are equal. An empty table gives an empty result. Other columns are not read.
     """
     vectors = vectors.where(F.col(id_col).isNotNull())
-    index = index or build_index(vectors, is_query, id_col, vec_col)
+    index = index or build_index(vectors, is_query, id_col, vec_col, top=top)
     if index is None:
         return vectors.select(F.col(id_col).cast("long").alias("query_id"), F.lit(1).alias("rank"),
                               F.col(id_col).cast("long").alias(id_col), F.lit(0.0).alias("score")).where(F.lit(False))

@@ -5,10 +5,10 @@ longest fitting rule decides. URLs that a rule labels also train a gradient-boos
 model on lexical features (lengths, depth, digit ratio, entropy, parameter counts, suffix
 statistics), which judges the URLs that no rule fits. Everything is DataFrame expressions: the
 trees come from the ML library and are applied as one nested CASE expression each, so scoring
-is part of the scan stage; there is no shuffle of URLs.
+is part of the scan stage while the suffix tables are small enough to broadcast (they are measured).
 
-Training reads a bounded sample: ``TRAIN_URLS`` labelled URLs by hash. The suffix statistics
-come from the same sample, so the table of suffixes that scoring broadcasts is bounded by it.
+The labelled URLs are taken once each, however many rows hold them. All of them make the suffix
+statistics; training reads a bounded sample, the first ``TRAIN_URLS`` by hash.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from linkloom.plans.materialize import materialize
 TRAIN_URLS = 8192
 TREES = 12
 DEPTH = 4
+BROADCAST_BYTES = 64 << 20   # measured size up to which a suffix table is broadcast
 SUFFIX_PRIOR = 4.0   # labelled URLs that a suffix's block rate is smoothed by
 
 
@@ -107,16 +108,18 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 
 def _with_suffixes(features: DataFrame, one: DataFrame, two: DataFrame, prior: float) -> DataFrame:
-    """Suffix statistics of the training sample; its tables are bounded by TRAIN_URLS, so they are broadcast."""
-    return (features.join(F.broadcast(one), "suffix", "left").join(F.broadcast(two), "second", "left")
+    """Suffix statistics of all labelled URLs (tables hinted by :func:`_rates` if they are small)."""
+    return (features.join(one, "suffix", "left").join(two, "second", "left")
             .withColumns({"f_suffix_rate": F.coalesce("one_rate", F.lit(prior)),
                           "f_suffix_seen": F.log1p(F.coalesce("one_seen", F.lit(0)).cast("double")),
                           "f_second_rate": F.coalesce("two_rate", F.lit(prior))}))
 
 
-def _rates(sample: DataFrame, key: str, name: str, prior: float) -> DataFrame:
+def _rates(labelled: DataFrame, key: str, name: str, prior: float) -> DataFrame:
     rate = (F.sum("label") + SUFFIX_PRIOR * prior) / (F.count(F.lit(1)) + SUFFIX_PRIOR)
-    return sample.groupBy(key).agg(rate.alias(f"{name}_rate"), F.count(F.lit(1)).alias(f"{name}_seen"))
+    table = materialize(labelled.groupBy(key).agg(rate.alias(f"{name}_rate"), F.count(F.lit(1)).alias(f"{name}_seen")), f"url-{key}")
+    size = table.agg(F.sum(F.octet_length(key) + 48)).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def _tree(node, features: list[str]) -> Column:
@@ -152,19 +155,21 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host, path = F.col("host"), F.col("path")
     base = base.withColumns({"rule": matched(rules, host, path, lambda r: r.text),
                              "ruled": matched(rules, host, path, lambda r: r.verdict)})
-    # Distinct URLs by hash: a bounded top-k, whatever page holds them.
-    sample = (base.where("ruled IS NOT NULL").select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label"))
-              .orderBy(F.xxhash64("url"), "url").limit(train_urls))
-    sample = materialize(lexical(sample).coalesce(1), "url-sample")
-    rows, blocked = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
+    # Each labelled URL once, whatever pages hold it: copies collapse before the exchange.
+    labelled = (base.where("ruled IS NOT NULL").select("url", (F.col("ruled") == "block").cast("double").alias("label")).distinct()
+                .select("url", "label", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
+    labelled = materialize(labelled, "url-labelled")
+    rows, blocked = labelled.agg(F.count(F.lit(1)), F.sum("label")).first()
     names = [f"f_{f}" for f in FEATURES]
     if not rows or blocked in (0, rows):
         verdict = "block" if rows and blocked else "allow"
         judged = base.withColumn("score", F.when(F.col("ruled").isNull(), F.lit(float(verdict == "block"))))
     else:
         prior = blocked / rows
-        one, two = (materialize(_rates(sample, key, name, prior), f"url-{key}")
-                    for key, name in (("suffix", "one"), ("second", "two")))
+        # A bounded top-k by hash for the trees; the statistics are of all labelled URLs.
+        sample = materialize(lexical(labelled.orderBy(F.xxhash64("url"), "url").limit(train_urls)).coalesce(1), "url-sample")
+        suffixes = labelled.select("label", suffix_of(host, 1).alias("suffix"), suffix_of(host, 2).alias("second"))
+        one, two = (_rates(suffixes, key, name, prior) for key, name in (("suffix", "one"), ("second", "two")))
         two = two.drop("two_seen")
         # One partition in hash order: the bounded sample trains the same trees at every run.
         train = _with_suffixes(sample, one, two, prior).coalesce(1).sortWithinPartitions(F.xxhash64("url"), "url")

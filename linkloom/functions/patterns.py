@@ -41,7 +41,7 @@ NAMED_ENTITIES = {name: chr(point) for name, point in sorted(name2codepoint.item
 # --- fixed values: entity extraction rules of the link contract ---
 URL_EXTENSION_RE = "(?i)\\.(html?|php|aspx?)$"
 URL_WORD_JOINERS_RE = "[_-]"
-TITLE_SEPARATOR_RE = "[|–—-]"
+TITLE_SEPARATOR_RE = "[|–—]|-"
 
 # A raw token ending in one of these closes a clause: no phrase spans it.
 CLAUSE_END_CHARS = [".", "!", "?", ";", ":", ","]

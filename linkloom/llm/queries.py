@@ -19,6 +19,7 @@ from linkloom.llm import (
     language_id,
     mixing,
     ngram_join,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     sharding,
@@ -91,6 +92,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter,
     op2_quality_classifier,
@@ -102,6 +107,7 @@ QUERIES = {f.__name__: f for f in (
     op8_language_id,
     op9_mix_sources,
     op10_nearest_neighbours,
+    op12_prefix_trie,
 )}
 
 # The mix in SQL: shares by sources in order of size by weight, then a running sum by position.

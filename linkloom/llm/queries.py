@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from linkloom.llm import (
     ann,
     bpe,
+    hard_negatives,
     language_id,
     mixing,
     ngram_join,
@@ -23,6 +24,7 @@ from linkloom.llm import (
     quality_classifier,
     quality_rules,
     sharding,
+    token_counts,
     token_files,
     url_filter,
 )
@@ -92,10 +94,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter,
     op2_quality_classifier,
@@ -107,14 +117,16 @@ QUERIES = {f.__name__: f for f in (
     op8_language_id,
     op9_mix_sources,
     op10_nearest_neighbours,
+    op11_token_counts,
     op12_prefix_trie,
+    op13_hard_negatives,
 )}
 
 # The mix in SQL: shares by sources in order of size by weight, then a running sum by position.
 _MIX = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS pos
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 12))::BIGINT AS pos
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
@@ -130,12 +142,13 @@ t AS (SELECT source, source_size, CASE WHEN over THEN (3 * source_size)::DOUBLE
              / sum(weight) FILTER (WHERE NOT over) OVER () END AS target
       FROM c),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM t),
-g AS (SELECT source, pos, sum(size)::BIGINT AS words FROM d GROUP BY source, pos),
-m AS (SELECT source, pos, words, sum(words) OVER (PARTITION BY source ORDER BY pos) AS upto FROM g)
+g AS (SELECT source, pos, sum(size)::BIGINT AS words, count(*) AS n FROM d GROUP BY source, pos),
+m AS (SELECT source, pos, words, n, sum(words) OVER (PARTITION BY source ORDER BY pos) AS upto FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY source, pos ORDER BY size) AS nth FROM d)
 SELECT d.doc_id, d.size, p.source_size, p.target,
-       (d.size * (p.passes + CASE WHEN 2 * m.upto - m.words <= 2 * (p.target - p.passes * p.source_size)
+       (d.size * (p.passes + CASE WHEN 2 * (m.upto - m.words) * n + (2 * nth - 1) * m.words <= 2 * n * (p.target - p.passes * p.source_size)
                                   THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+FROM k AS d JOIN p ON d.source IS NOT DISTINCT FROM p.source
        JOIN m ON d.source IS NOT DISTINCT FROM m.source AND d.pos = m.pos
 """
 

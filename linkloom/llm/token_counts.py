@@ -1,6 +1,8 @@
 """Token counts of whole texts; huge ones are counted in chunks that resynchronise in their overlaps.
 
-Texts below ``2 * CHUNK`` characters are encoded whole where they lie. A longer one becomes chunks of ``CHUNK``
+Texts below ``2 * CHUNK`` characters are counted where they lie: whole by the library or, if words between ASCII white space are
+independent under the file's split rule, by the counts of their words, each encoded by the library once (a bounded table
+by the word's 64-bit hash remembers them). A longer one becomes chunks of ``CHUNK``
 characters, each with the first ``OVERLAP`` characters of the next, which are dealt over all tasks and
 encoded with offsets. Neighbours are spliced at a position of their overlap that is
 
@@ -28,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm import text_arrays as ta
 from linkloom.llm.sorted_scan import partitions
 from linkloom.plans.materialize import materialize
 
@@ -37,6 +40,7 @@ WIDEN = 4
 PLACES = 16          # stable positions of an overlap that are compared
 BATCH_CHARS = 1 << 19
 LIMIT = 2048
+MEMORY_WORDS = 1_000_000  # words a worker remembers before it starts anew (12 bytes each)
 
 # The split rules under which :meth:`Counter.stable` knows independent positions.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -51,6 +55,8 @@ class Counter:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.specials: list[str] = []
+        self.by_word = False
+        self.forget()
         if path.endswith(".model"):
             import sentencepiece
             self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -70,8 +76,10 @@ class Counter:
         if not any(t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             self.rule = self._rule(spec)
 
-    @staticmethod
-    def _rule(spec: dict) -> re.Pattern | None:
+    def forget(self) -> None:
+        self.known, self.known_n = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def _rule(self, spec: dict) -> re.Pattern | None:
         steps = spec["pre_tokenizer"] or {}
         steps = steps.get("pretokenizers", [steps])
         kinds = [n["type"] for n in (spec["normalizer"] or {"normalizers": []}).get("normalizers", [spec["normalizer"]])]
@@ -79,11 +87,43 @@ class Counter:
             return None
         split = steps[0].get("pattern", {}).get("Regex")
         if split == WORD_SPLIT and steps[0].get("behavior") == "Removed" and steps[0].get("invert"):
+            # White space ends every match and is dropped; no special token may hold any.
+            self.by_word = not any(re.search(r"\s", x) for x in self.specials)
             return re.compile(f"{_SPACE}|{_WORD}")
         if steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not kinds:
             return re.compile(f"{_SPACE}|{_BYTE}")
         return None
 
+    def text_counts(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text."""
+        if not self.by_word:
+            return np.array(self.counts(texts.to_pylist()), np.int64)
+        data, offsets = ta.flat_bytes(texts)
+        out = np.zeros(len(texts), np.int64)
+        for i, j in ta.chunks(offsets):
+            part = data[offsets[i]:offsets[j]]
+            starts, ends, first = ta.words(part, offsets[i:j + 1] - offsets[i])
+            run = np.concatenate([[0], np.cumsum(self._word_counts(part, starts, ends))])
+            out[i:j] = run[first[1:]] - run[first[:-1]]
+        return out
+
+    def _word_counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        distinct, first, inverse = np.unique(ta.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.known, distinct)
+        new = np.flatnonzero(self.known[np.minimum(place, len(self.known) - 1)] != distinct) if len(self.known) else np.arange(len(distinct))
+        if len(self.known) and len(self.known) + len(new) > MEMORY_WORDS:
+            self.forget()
+            new = np.arange(len(distinct))
+        if len(new):
+            raw = data.tobytes()
+            made = self.counts([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            place = np.searchsorted(self.known, distinct[new])
+            self.known = np.insert(self.known, place, distinct[new])
+            self.known_n = np.insert(self.known_n, place, made)
+        return self.known_n[np.searchsorted(self.known, distinct)][inverse].astype(np.int64)
+
     def counts(self, texts: list[str]) -> list[int]:
         if self.library is None:
             return [len(x) for x in self.pieces.encode(texts, num_threads=1)]
@@ -143,7 +183,7 @@ def counter(path: str) -> Counter:
 def _scan(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFrame:
     """``(key, id, n_bytes, n_tokens, no, text)``: counted texts (``no`` null), and chunks of huge ones (``n_tokens`` null)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer).counts
+        count = counter(tokenizer).text_counts
         for batch in batches:
             texts = pc.fill_null(batch.column(2), "")
             sizes, chars = (f(texts).to_numpy(zero_copy_only=False) for f in (pc.binary_length, pc.utf8_length))
@@ -152,7 +192,7 @@ def _scan(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFr
             found = np.zeros(len(chars), np.int64)
             for rows in np.split(small, np.flatnonzero(np.diff(group)) + 1):
                 if len(rows):
-                    found[rows] = count(texts.take(pa.array(rows)).to_pylist())
+                    found[rows] = count(texts.take(pa.array(rows)))
             take = pa.array(small)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(sizes[small].astype(np.int64)), pa.array(found[small]),

@@ -24,15 +24,27 @@ NON_WORD_OR_SPACE = "[^\\p{L}\\p{N} ]"
 OUTER_NON_WORD = "\\A[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+\\z"
 
 # --- fixed values: HTML extraction ---
-TITLE_RE = "(?is)<title[^>]*>(.*?)</title>"
-H1_RE = "(?is)<h1[^>]*>(.*?)</h1>"
-# Text that is not shown, and the regions that hold the main text: greedy, so a nested or second
-# element of the same name stays inside.
+# Text that is not shown.
 HIDDEN_RE = "(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
-MAIN_TEXT_RES = ["(?is)<article(?:\\s[^>]*)?>(.*)</article>", "(?is)<main(?:\\s[^>]*)?>(.*)</main>",
-                 "(?is)<body(?:\\s[^>]*)?>(.*)</body>"]
-H1_ELEMENT_RE = "(?is)<h1[^>]*>.*?</h1>"
-TAG_RE = "<[^>]*>"
+# A tag's rest after its name: a quoted attribute may hold ">". Possessive, so that long tags need no backtracking.
+_ATTRIBUTES = "[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+"
+
+
+def _open(names: str) -> str:
+    return f"<(?:{names})(?:[\\s/]{_ATTRIBUTES})?>"
+
+
+# One pass over all tags, left to right: the wanted ones are kept (group 1), any other is matched whole. A tag whose
+# quotes do not close ends at its first ">".
+WANTED_TAGS = "article|main|body|h1|title"
+TAGS_RE = (f"(?is)({_open(WANTED_TAGS)}|</(?:{WANTED_TAGS})\\s*+>)|<[a-z/!?]{_ATTRIBUTES}>|<[a-z/!?][^>]*+>")
+WANTED_RE = f"(?is){_open(WANTED_TAGS)}|</(?:{WANTED_TAGS})\\s*+>"
+TITLE_RE = f"(?is){_open('title')}(.*?)</title\\s*+>"
+H1_RE = f"(?is){_open('h1')}(.*?)</h1\\s*+>"
+# The elements that hold the main text, the first that a page has.
+MAIN_ELEMENTS = ["article", "main", "body"]
+OPEN_RES = {name: f"(?is){_open(name)}" for name in MAIN_ELEMENTS}
+CLOSE_RES = {name: f"(?is)</{name}\\s*+>" for name in MAIN_ELEMENTS}
 # Character references: decimal, hexadecimal and named ones (HTML 4 names, from the standard library).
 # "&amp;" is decoded last, so that "&amp;lt;" becomes the text "&lt;", not "<".
 ENTITY_RE = "&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"

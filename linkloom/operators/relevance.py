@@ -1,8 +1,9 @@
 """L2: TF-IDF cosine between a source page's text and a target page's topic.
 
-Sparse vectors as ``(page_id, word, weight)`` tables; the dot product is an
-equi-join on ``(page, word)`` followed by a partial ``sum`` per pair, so it
-is only ever evaluated for the requested pairs (never all pairs).
+Document frequencies are one partial count over all pages. Term counts are taken for the pages that occur
+in a requested pair only: their word arrays are dealt by page once, and counting, weighting and collecting the
+page's sparse vector all happen behind that exchange. A source's vector is a map column, in which a pair looks up the few
+words of the target's topic, so no word is a join key between pages.
 """
 
 from __future__ import annotations
@@ -16,33 +17,26 @@ from linkloom.operators.linking import LinkParams, measure, ranked_links, with_a
 from linkloom.plans.materialize import materialize
 
 
-def _word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    w = df.select(F.col(id_col).alias("page_id"), shingle_words(F.col(text_col)).alias("words"))
-    return w.select("page_id", F.explode("words").alias("w"))
-
-
-def content_tf(corpus: DataFrame) -> DataFrame:
-    """``(page_id, w, tf)``: term counts of page contents (partial aggregate)."""
-    return _word_rows(blank_fill(corpus), "page_id", "content").groupBy("page_id", "w").agg(
-        F.count(F.lit(1)).alias("tf"))
-
-
-def idf_table(tf: DataFrame, n_pages: int) -> DataFrame:
+def idf_table(corpus: DataFrame, n_pages: int) -> DataFrame:
     """``(w, idf)`` with ``idf = ln(N / df)``; ``df`` counts the pages whose
     content holds the word (a partial count, so frequent words do not skew)."""
-    return tf.groupBy("w").agg(F.count(F.lit(1)).alias("df")).select(
+    words = blank_fill(corpus).select(F.explode(F.array_distinct(shingle_words(F.col("content")))).alias("w"))
+    return words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).select(
         "w", F.log(F.lit(float(n_pages)) / F.col("df")).alias("idf"))
 
 
-def content_vectors(tf: DataFrame, idf: DataFrame) -> DataFrame:
+def _weights(pages: DataFrame, idf: DataFrame) -> DataFrame:
+    """``(page_id, w, x)`` of rows ``(page_id, text)``, several of which may be one page's; dealt by page."""
+    words = pages.select("page_id", shingle_words(F.col("text")).alias("words")).repartition("page_id")
+    tf = words.select("page_id", F.explode("words").alias("w")).groupBy("page_id", "w").agg(F.count(F.lit(1)).alias("tf"))
     return tf.join(idf, "w").select("page_id", "w", (F.col("tf") * F.col("idf")).alias("x"))
 
 
-def topic_vectors(corpus: DataFrame, idf: DataFrame) -> DataFrame:
-    ents = entity_rows(corpus)
-    tf = _word_rows(ents, "page_id", "entity").groupBy("page_id", "w").agg(
-        F.count(F.lit(1)).alias("tf"))
-    return tf.join(idf, "w").select("page_id", "w", (F.col("tf") * F.col("idf")).alias("x"))
+def _vectors(weights: DataFrame, name: str) -> DataFrame:
+    """``(page_id, norm, vector)``: one row per page; ``vector`` is an array of its (word, weight) entries."""
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")))
+    return weights.groupBy("page_id").agg(norm.alias(f"norm_{name}"), F.collect_list(F.struct("w", "x")).alias(name)).select(
+        F.col("page_id").alias(f"{name}_id"), f"norm_{name}", name)
 
 
 def topic_relevance(pairs: DataFrame, corpus: DataFrame, digits: int = 6,
@@ -50,34 +44,22 @@ def topic_relevance(pairs: DataFrame, corpus: DataFrame, digits: int = 6,
     """``pairs(source_id, target_id, ...)`` -> same rows plus ``relevance``
     (cosine, rounded to ``digits``; 0 when either vector is empty).
 
-    Only pages that occur in a pair get vectors. Frequent words are on every page, so the word table is
-    broadcast if its measured size allows; beyond it the join on words may be split at a hot word. For the
-    dot product a source keeps only words that occur in some topic; its norm is one full aggregate."""
+    The table of word weights is broadcast if its measured size allows; beyond it that one join shuffles the words of the
+    pages in pairs. A page's vector is bounded by its own text."""
     n_pages = corpus.count()            # a scalar, passed as a literal
-    tf = materialize(content_tf(corpus), "content-tf")   # read twice below
-    idf = materialize(idf_table(tf, n_pages), "idf")
-    small = measure(idf)["bytes"] <= broadcast_bytes
-    hint = F.broadcast if small else (lambda df: df)
+    idf = materialize(idf_table(corpus, n_pages), "idf")
+    idf = F.broadcast(idf) if measure(idf)["bytes"] <= broadcast_bytes else idf
     keys = pairs.select("source_id", "target_id").distinct()
     sources, targets = (keys.select(F.col(c).alias("page_id")).distinct() for c in ("source_id", "target_id"))
-    weights = content_vectors(tf.join(sources, "page_id", "left_semi"), hint(idf))
-    tv = topic_vectors(corpus.join(targets, "page_id", "left_semi"), hint(idf))
-    s_norm = weights.groupBy("page_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("ns"))
-    t_norm = tv.groupBy("page_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nt"))
-    sv = weights.join(hint(tv.select("w").distinct()), "w", "left_semi")
-    dot = (keys.join(tv.select(F.col("page_id").alias("target_id"), "w", F.col("x").alias("xt")),
-                     "target_id")
-               .join(sv.select(F.col("page_id").alias("source_id"), "w", F.col("x").alias("xs")),
-                     ["source_id", "w"])
-               .groupBy("source_id", "target_id")
-               .agg(F.sum(F.col("xs") * F.col("xt")).alias("dot")))
-    scored = (keys.join(dot, ["source_id", "target_id"], "left")
-                  .join(s_norm.withColumnRenamed("page_id", "source_id"), "source_id", "left")
-                  .join(t_norm.withColumnRenamed("page_id", "target_id"), "target_id", "left"))
-    cos = F.when((F.col("ns") > 0) & (F.col("nt") > 0),
-                 F.coalesce(F.col("dot"), F.lit(0.0)) / (F.col("ns") * F.col("nt"))
-                 ).otherwise(F.lit(0.0))
-    scored = scored.select("source_id", "target_id", F.round(cos, digits).alias("relevance"))
+    texts = blank_fill(corpus).join(sources, "page_id", "left_semi").select("page_id", F.col("content").alias("text"))
+    topics = entity_rows(corpus.join(targets, "page_id", "left_semi")).select("page_id", F.col("entity").alias("text"))
+    source = _vectors(_weights(texts, idf), "source").withColumn("source", F.map_from_entries("source"))
+    target = _vectors(_weights(topics, idf), "target")
+    met = keys.join(target, "target_id", "left").join(source, "source_id", "left")
+    dot = F.aggregate("target", F.lit(0.0), lambda acc, e: acc + e["x"] * F.coalesce(F.try_element_at("source", e["w"]), F.lit(0.0)))
+    norms = F.col("norm_source") * F.col("norm_target")
+    relevance = F.when((F.col("norm_source") > 0) & (F.col("norm_target") > 0), dot / norms).otherwise(F.lit(0.0))
+    scored = met.select("source_id", "target_id", F.round(relevance, digits).alias("relevance"))
     return pairs.join(scored, ["source_id", "target_id"])
 
 

@@ -29,9 +29,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with hidden text, a second or nested article, another main element, and character
-    references, by ``page_id % 6``."""
-    k, html = F.col("page_id") % 6, F.col("html")
+    """Pages with hidden text, a second or nested article, another main element, character references, text
+    between articles, a quoted ``>`` and an unclosed article, by ``page_id % 9``."""
+    k, html = F.col("page_id") % 9, F.col("html")
     swap = lambda c, *pairs: swap(F.replace(c, F.lit(pairs[0]), F.lit(pairs[1])), *pairs[2:]) if pairs else c
     return read_table(spark, sf_dir, "pages").withColumn("html", (
         F.when(k == 1, swap(html, "</article>", "<script>var hidden = 1 < 2;</script><!-- note --></article>"))
@@ -39,6 +39,9 @@ def page_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(k == 3, swap(html, "<article", "<main", "</article>", "</main>"))
          .when(k == 4, swap(html, "<article", "<div", "</article>", "</div>"))
          .when(k == 5, swap(html, "</article>", "<article>nested</article> tail &#x2013; &amp;lt; &nosuch;</article>"))
+         .when(k == 6, swap(html, "</article>", "</article><nav>menu home login</nav><ARTICLE class='x > y'>two text</ARTICLE >"))
+         .when(k == 7, swap(html, "</article>", '<b title="x > y <article>">bold</b> 1 < 2 <i lang="en>open</i></article>'))
+         .when(k == 8, swap(html, "</article>", "", "</body>", "</article></article>after</body>"))
          .otherwise(html)))
 
 

@@ -14,10 +14,12 @@ from linkloom.functions import patterns as P
 from linkloom.functions.text import word_count
 from linkloom.operators import audit as AU
 from linkloom.operators import entities as E
+from linkloom.operators import link_classes as LC
 from linkloom.operators import linking as L
 from linkloom.operators import responses as R
 from linkloom.operators import runs as RU
 from linkloom.operators import stats as ST
+from linkloom.operators.duplicate_classes import duplicate_classes
 from linkloom.operators.ordinal import with_ordinal
 from linkloom.operators.relevance import suggestions_with_relevance
 from linkloom.plans import fixtures as FX
@@ -37,12 +39,12 @@ def q_corpus_from_html(spark, sf):
 
 
 def q_corpus_scan(spark, sf):
-    """One folder whose files order their columns differently."""
+    """One folder whose files order their columns differently, read in splits."""
     path = scratch(spark, "corpus-csv")
     pages = FX.corpus_gaps(spark, sf)
     FI.write_corpus(pages.where("page_id % 2 = 0"), f"{path}/a")
     FI.write_corpus(pages.where("page_id % 2 = 1"), f"{path}/b", headers=["Content", "Meta Title", "H1", "URL"])
-    return FI.read_corpus(spark, path).select("url", "h1", "meta_title", "content")
+    return FI.read_corpus(spark, path, splits=True).select("url", "h1", "meta_title", "content")
 
 
 def q_null_markers(spark, sf):
@@ -232,6 +234,25 @@ def q_link_priority(spark, sf):
                      .cast("long").alias("priority"))
 
 
+def q_link_classes(spark, sf):
+    """L5/L7 factorised: links of each source by phrase and priority, linear in the pages."""
+    c = LC.link_classes(FX.corpus(spark, sf))
+    return c.select("source_id", "gram", *[F.col(x).cast("long").alias(y) for x, y in (
+        ("n", "n"), ("df", "df"), ("pos", "start_pos"), ("priority", "priority"), ("links", "links"))])
+
+
+def q_link_class_members(spark, sf):
+    """The pages that the classes stand for."""
+    m = LC.class_members(L.prepare_targets(FX.corpus(spark, sf), L.LinkParams(near_duplicates=False)))
+    return m.select("gram", F.col("n").cast("long").alias("n"), "target_id", "t_silo",
+                    F.col("t_depth").cast("long").alias("t_depth"), "origin")
+
+
+def q_duplicate_classes(spark, sf):
+    """L6 for all pages: the class of each page under near-duplicate links."""
+    return duplicate_classes(FX.corpus(spark, sf))
+
+
 def q_top_k_links(spark, sf):
     r = L.ranked_links(FX.corpus(spark, sf), L.LinkParams(k=TOP_K))
     return r.select("source_id", "target_id", F.col("rank").cast("long").alias("rank"))

@@ -9,13 +9,9 @@ from __future__ import annotations
 # Fixed values, written out: a wrong value in the code under test must not pass on both sides.
 class P:
     HIDDEN_RE = '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>'
-    ARTICLE_RE = '(?is)<article(?:\\s[^>]*)?>(.*)</article>'
-    MAIN_RE = '(?is)<main(?:\\s[^>]*)?>(.*)</main>'
-    BODY_RE = '(?is)<body(?:\\s[^>]*)?>(.*)</body>'
+    ATTRIBUTES = '[^>"\']*(?:"[^"]*"[^>"\']*|\'[^\']*\'[^>"\']*)*'
     ASCII_SPACE_RUN = '[ \\t\\n\\x0B\\f\\r]+'
     CLAUSE_END_CHARS = ['.', '!', '?', ';', ':', ',']
-    H1_ELEMENT_RE = '(?is)<h1[^>]*>.*?</h1>'
-    H1_RE = '(?is)<h1[^>]*>(.*?)</h1>'
     HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"),
                      ("&middot;", "\u00b7"), ("&eacute;", "\u00e9"), ("&#8211;", "\u2013"), ("&#x2013;", "\u2013"),
                      ("&amp;", "&")]
@@ -23,8 +19,6 @@ class P:
     NULL_MARKERS = ['', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null']
     OUTER_NON_WORD = '\\A[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+\\z'
     PY_STRIP = '\\A[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+\\z'
-    TAG_RE = '<[^>]*>'
-    TITLE_RE = '(?is)<title[^>]*>(.*?)</title>'
     TITLE_SEPARATOR_RE = '[|–—]|-'
     URL_EXTENSION_RE = '(?i)\\.(html?|php|aspx?)$'
     URL_WORD_JOINERS_RE = '[_-]'
@@ -48,10 +42,6 @@ def decode(x: str) -> str:
     return x
 
 
-def html_text(x: str) -> str:
-    return py_strip(collapse_ws(decode(f"regexp_replace({x}, {q(P.TAG_RE)}, ' ', 'g')")))
-
-
 def norm(x: str) -> str:
     return f"regexp_replace(lower({x}), {q(P.NON_WORD)}, '', 'g')"
 
@@ -61,16 +51,36 @@ def tokens(x: str) -> str:
 
 
 def corpus_cte(src: str, name: str = "corpus") -> str:
-    main = "CASE " + " ".join(
-        f"WHEN regexp_matches(shown, {q(r)}) THEN regexp_extract(shown, {q(r)}, 1)"
-        for r in (P.ARTICLE_RE, P.MAIN_RE, P.BODY_RE)) + " ELSE '' END"
-    h1 = html_text(f"regexp_extract(shown, {q(P.H1_RE)}, 1)")
-    title = html_text(f"regexp_extract(shown, {q(P.TITLE_RE)}, 1)")
-    content = html_text(f"regexp_replace({main}, {q(P.H1_ELEMENT_RE)}, ' ', 'g')")
+    def opens(names: str) -> str:
+        return f"<(?:{names})(?:[\\s/]{P.ATTRIBUTES})?>"
+
+    names = "article|main|body|h1|title"
+    wanted = f"{opens(names)}|</(?:{names})\\s*>"
+    any_tag = f"(?is)({wanted})|<[a-z/!?]{P.ATTRIBUTES}>|<[a-z/!?][^>]*>"
+    text = lambda x: py_strip(collapse_ws(decode(f"regexp_replace({x}, {q('(?is)' + wanted)}, ' ', 'g')")))
+    h1, title = (f"(?is){opens(e)}(.*?)</{e}\\s*>" for e in ("h1", "title"))
+    marked = "CASE " + " ".join(
+        f"WHEN regexp_matches(body, {q('(?is)' + opens(e))}) THEN regexp_replace(regexp_replace(body, {q('(?is)' + opens(e))}, chr(1), 'g'), "
+        f"{q(f'(?is)</{e}' + chr(92) + 's*>')}, chr(2), 'g')" for e in ("article", "main", "body")) + " ELSE '' END"
+    mark = "'[' || chr(1) || chr(2) || ']'"
     return f"""
+{name}_kept AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(html, {q(P.HIDDEN_RE)}, ' ', 'g'), {q(any_tag)}, '\\1 ', 'g') AS shown FROM {src}
+),
+{name}_marked AS (
+  SELECT page_id, url, shown, {marked} AS marked FROM (SELECT *, regexp_replace(shown, {q(h1)}, ' ', 'g') AS body FROM {name}_kept)
+),
+{name}_steps AS (
+  SELECT *, list_transform(range(1, len(signs) + 2), lambda i: coalesce(list_sum(signs[1:i - 1]), 0)) AS sums
+  FROM (SELECT *, list_transform(regexp_extract_all(marked, {mark}), lambda m: CASE WHEN m = chr(1) THEN 1 ELSE -1 END) AS signs,
+               regexp_split_to_array(marked, {mark}) AS pieces FROM {name}_marked)
+),
 {name} AS (
-  SELECT page_id, url, nullif({h1}, '') AS h1, nullif({title}, '') AS meta_title, {content} AS content
-  FROM (SELECT page_id, url, regexp_replace(html, {q(P.HIDDEN_RE)}, ' ', 'g') AS shown FROM {src})
+  SELECT page_id, url, nullif({text(f"regexp_extract(shown, {q(h1)}, 1)")}, '') AS h1,
+         nullif({text(f"regexp_extract(shown, {q(title)}, 1)")}, '') AS meta_title,
+         {text("array_to_string(list_transform(list_filter(range(1, len(pieces) + 1), "
+               "lambda i: sums[i] > least(0, list_min(sums[1:i]))), lambda i: pieces[i]), ' ')")} AS content
+  FROM {name}_steps
 )"""
 
 
@@ -78,12 +88,15 @@ CORPUS = corpus_cte("pages")
 
 PAGE_VARIANTS = """
 page_variants AS (
-  SELECT page_id, url, CASE page_id % 6
+  SELECT page_id, url, CASE page_id % 9
     WHEN 1 THEN replace(html, '</article>', '<script>var hidden = 1 < 2;</script><!-- note --></article>')
     WHEN 2 THEN replace(html, '</article>', '</article><article><p>second &#8211; caf&eacute;</p></article>')
     WHEN 3 THEN replace(replace(html, '<article', '<main'), '</article>', '</main>')
     WHEN 4 THEN replace(replace(html, '<article', '<div'), '</article>', '</div>')
     WHEN 5 THEN replace(html, '</article>', '<article>nested</article> tail &#x2013; &amp;lt; &nosuch;</article>')
+    WHEN 6 THEN replace(html, '</article>', '</article><nav>menu home login</nav><ARTICLE class=''x > y''>two text</ARTICLE >')
+    WHEN 7 THEN replace(html, '</article>', '<b title="x > y <article>">bold</b> 1 < 2 <i lang="en>open</i></article>')
+    WHEN 8 THEN replace(replace(html, '</article>', ''), '</body>', '</article></article>after</body>')
     ELSE html END AS html
   FROM pages
 )"""
@@ -527,6 +540,27 @@ FROM (SELECT *, row_number() OVER (PARTITION BY source_url, response_no ORDER BY
     "link_priority": _w(*_C, *_LS, body="""
 SELECT source_id, target_id, CAST(CASE WHEN s_silo = t_silo AND t_depth < s_depth THEN 2
                                        WHEN s_silo = t_silo THEN 1 ELSE 0 END AS BIGINT) AS priority FROM pairs"""),
+    "link_classes": _w(*_C, *_LS, body="""
+SELECT source_id, gram, CAST(n AS BIGINT) AS n, CAST(df AS BIGINT) AS df, CAST(min(pos) AS BIGINT) AS start_pos, priority,
+       count(DISTINCT target_id) AS links
+FROM (SELECT *, CAST(CASE WHEN s_silo = t_silo AND t_depth < s_depth THEN 2 WHEN s_silo = t_silo THEN 1 ELSE 0 END AS BIGINT)
+                AS priority FROM matches)
+GROUP BY source_id, gram, n, df, priority"""),
+    "link_class_members": _w(*_C, *_LS, body="SELECT gram, CAST(n AS BIGINT) AS n, target_id, t_silo, "
+                                              "CAST(t_depth AS BIGINT) AS t_depth, origin FROM tg WHERE target_url IS NOT NULL"),
+    "duplicate_classes": _w(*_C, *_LS, """
+alike AS (
+  SELECT a.page_id AS u, b.page_id AS v, count(*) AS inter
+  FROM shr a JOIN shr b ON a.s = b.s AND a.page_id <> b.page_id GROUP BY u, v
+),
+near AS (
+  SELECT u, v FROM alike JOIN shn x ON x.page_id = u JOIN shn y ON y.page_id = v
+  WHERE inter * 5 >= (x.nsh + y.nsh - inter) * 4
+),
+reach AS (
+  SELECT page_id AS id, page_id AS r FROM corpus
+  UNION SELECT reach.id, near.v FROM reach JOIN near ON near.u = reach.r
+)""", body="SELECT id AS page_id, min(r) AS class_id FROM reach GROUP BY id").replace("WITH", "WITH RECURSIVE", 1),
     "top_k_links": _w(*_C, *_LS, body="SELECT source_id, target_id, rank FROM ranked WHERE rank <= 3"),
     "link_suggestions": _w(*_C, *_LS, body=_link_sugg()),
     "unknown_targets": _w(*_C, SUGGESTIONS, body="""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.functions import patterns as P
+from linkloom.sources.csv_splits import read_records
 
 SUGGESTION_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in P.SUGGESTION_COLUMNS])
 
@@ -80,7 +81,8 @@ def _header_groups(spark: SparkSession, path: str) -> list[tuple[tuple[str, ...]
     return sorted((h, sorted(files)) for h, files in groups.items())
 
 
-def read_corpus(spark: SparkSession, path: str, page_numbers: bool = False, multi_line: bool = True) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, page_numbers: bool = False, multi_line: bool = True,
+                splits: bool = False) -> DataFrame:
     """Read page CSVs (columns by name, any order, extra columns
     allowed, everything text), check the four required columns, map missing
     markers to NULL. Returns ``(url, h1, meta_title, content)`` plus the
@@ -88,20 +90,26 @@ def read_corpus(spark: SparkSession, path: str, page_numbers: bool = False, mult
 
     The files of a folder may order their columns differently: files with one
     header are read together, by that header, and the groups are united by name.
-    ``multi_line=False`` reads files without line feeds inside a field in splits.
+    ``multi_line=False`` reads files without line feeds inside a field in splits; ``splits=True`` reads files with them in
+    splits too, if their quotes are paired (as every CSV writer here and the reference's writes them: a field
+    that holds a quote is quoted, its quotes doubled). The default reads each file in one task and takes stray quotes as they are.
 
     ``page_numbers=True`` adds ``page_no``: 1-based position in input order
-    (files by path, rows in file order). Multi-line CSV files are never
-    split, so a per-partition row id orders the rows of one file; the W1
+    (files by path, rows in file order): a per-partition row id orders the rows of one file (of one split); the W1
     ordinal then numbers them without a single-task window."""
     names = dict(zip(P.CORPUS_HEADERS, ["url", "h1", "meta_title", "content"]))
     options = _CSV_READ | {"multiLine": str(multi_line or page_numbers).lower()}
     out = None
-    for _, files in _header_groups(spark, path):
-        raw = spark.read.options(**options).csv(files)
-        if page_numbers:
-            raw = raw.select("*", F.col("_metadata.file_path").alias("_file"),
-                             F.monotonically_increasing_id().alias("_row"))
+    places = ["_file", "_block", "_row"] if page_numbers else []
+    for header, files in _header_groups(spark, path):
+        if splits:
+            raw = read_records(spark, files, list(header), {k: v for k, v in options.items() if k not in ("header", "inferSchema", "multiLine")})
+            raw = raw if page_numbers else raw.drop("_file", "_block", "_row")
+        else:
+            raw = spark.read.options(**options).csv(files)
+            if page_numbers:
+                raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("long").alias("_block"),
+                                 F.monotonically_increasing_id().alias("_row"))
         if "Content (First 500 chars)" in raw.columns and "Content" not in raw.columns:
             raw = raw.withColumnRenamed("Content (First 500 chars)", "Content")
         missing = missing_columns(raw)
@@ -114,7 +122,7 @@ def read_corpus(spark: SparkSession, path: str, page_numbers: bool = False, mult
     out = null_markers(out, list(names.values()))
     if page_numbers:
         from linkloom.operators.ordinal import with_ordinal
-        out = with_ordinal(out, ["_file", "_row"], "page_no").drop("_file", "_row")
+        out = with_ordinal(out, places, "page_no").drop(*places)
     return out
 
 

@@ -11,6 +11,7 @@ a bounded table keyed by the word's 64-bit hash. Texts never leave their task: n
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -45,6 +46,8 @@ class Vocabulary:
         suffix = model.get("end_of_word_suffix") or ""
         self.rule = "words" if suffix else "bytes"
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
+        # The leftmost special token first, of those the longest.
+        self.special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         self.normalize = spec["normalizer"] is not None
         letters = byte_letters()
         self.inner = np.array([vocab[x] for x in letters], np.int64)
@@ -169,15 +172,12 @@ class Vocabulary:
         return ids, cuts[last]
 
     def _split(self, text: str) -> Iterator[tuple[str, int | None]]:
-        """Parts of a text between special tokens, each with the id of the token after it."""
-        while True:
-            found = [(text.find(t), -len(t), t) for t in self.special if t in text]
-            if not found:
-                break
-            at, _, token = min(found)
-            yield self._normal(text[:at]), self.special[token]
-            text = text[at + len(token):]
-        yield self._normal(text), None
+        """Parts of a text between special tokens, each with the id of the token after it: one pass, whatever their number."""
+        at = 0
+        for found in self.special_re.finditer(text) if self.special else ():
+            yield self._normal(text[at:found.start()]), self.special[found.group()]
+            at = found.end()
+        yield self._normal(text[at:]), None
 
     def _normal(self, text: str) -> str:
         if not self.normalize:

@@ -6,9 +6,9 @@ Every letter has a fixed pseudo-random vector of +1 and -1. A letter n-gram is t
 word repeated without end doesn't drown the rest; a language prototype is the bundle of its
 training texts, each scaled to length one. A text gets the language of the largest cosine.
 
-Training reads a bounded sample: ``TRAIN_TEXTS`` expected texts of each language, by hash of
-the id. Bundles are summed in the tasks; what reaches the driver is at most one vector for each
-sampled text, and the model is one vector for each language. Prediction is one narrow stage.
+Training reads a bounded sample: at most ``TRAIN_TEXTS`` different texts of each language, the first by a hash of
+the text. Bundles are summed in the tasks; the model, one vector for each language, is what reaches the driver. Prediction
+is one narrow stage.
 """
 
 from __future__ import annotations
@@ -18,15 +18,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.llm import text_arrays as ta
 from linkloom.llm.pretokens import LETTER, classes, code_points, lower
+from linkloom.plans.materialize import materialize
 
 DIMENSIONS = 1024
-TRAIN_TEXTS = 2000     # expected training texts of each language
+TRAIN_TEXTS = 2000     # training texts of each language
+MAX_BROADCAST = 4096   # languages whose sample thresholds are broadcast
 UNKNOWN = "und"
 GRAM_BLOCK = 4096      # n-gram vectors held at once
 CELLS = 4_000_000      # text by n-gram counts held at once
@@ -91,17 +93,22 @@ def _chunks(column):
         yield i, j, texts[i:j].to_pylist()
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-          train_texts: int = TRAIN_TEXTS) -> Model:
-    """Prototypes of the non-null languages of ``docs``; texts without a letter add nothing."""
-    labelled = docs.where(F.col(lang_col).isNotNull()).select(
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train_texts: int = TRAIN_TEXTS) -> Model:
+    """Prototypes of the non-null languages of ``docs``; texts without a letter add nothing.
+
+    Each language learns from its first ``train_texts`` different texts by a hash of the text (all, if it has fewer); ids
+    are not read. One row per language reaches the driver: the model."""
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
-        F.xxhash64(F.col(id_col).cast("string")).alias("draw"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        bound = (1 << 63) - 1 if n <= train_texts else int(-(1 << 63) + (1 << 64) * train_texts // n)
-        picked = picked | ((F.col("lang") == lang) & (F.col("draw") <= F.lit(bound)))
+        F.xxhash64(F.lit(17), F.col(text_col).cast("string")).alias("draw"))
+    first = Window.partitionBy("lang").orderBy("draw")
+    lasts = (labelled.groupBy("lang", "draw").agg(F.count(F.lit(1)).alias("n")).withColumn("no", F.row_number().over(first))
+             .where(F.col("no") <= train_texts).groupBy("lang").agg(F.max("draw").alias("last")))
+    lasts = materialize(lasts, "language-samples")
+    some = lasts.select(F.col("lang").alias("of"), "last")
+    some = F.broadcast(some) if lasts.count() <= MAX_BROADCAST else some
+    drawn = (labelled.join(some, (F.col("lang") == F.col("of")) & (F.col("draw") <= F.col("last")))
+             .groupBy("lang", "draw").agg(F.first("text").alias("text")).select("text", "lang"))
 
     def run(batches):
         for batch in batches:
@@ -112,10 +119,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sums, pa.list_(pa.float64()))],
                                                  names=["lang", "bundle"])
 
-    rows = labelled.where(picked).select("text", "lang").mapInArrow(run, "lang string, bundle array<double>").collect()
-    total = {lang: np.zeros(DIMENSIONS) for lang in sorted(counts)}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["bundle"])):
-        total[row["lang"]] += np.array(row["bundle"])
+    def add(rows: pa.Table) -> pa.Table:  # a language's train_texts rows at most
+        sums = np.array(sorted(rows["bundle"].to_pylist()))
+        return pa.table({"lang": rows["lang"][:1], "bundle": pa.array([sums.sum(0).tolist()], pa.list_(pa.float64()))})
+
+    rows = (drawn.mapInArrow(run, "lang string, bundle array<double>").groupBy("lang")
+            .applyInArrow(add, "lang string, bundle array<double>").collect())
+    total = {r["lang"]: np.array(r["bundle"]) for r in sorted(rows, key=lambda r: r["lang"])}
     total = {lang: v / np.linalg.norm(v) for lang, v in total.items() if np.linalg.norm(v) > 0}
     return Model(list(total), np.array(list(total.values()), np.float32).reshape(-1, DIMENSIONS))
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import text_arrays as ta
 from linkloom.llm.annotate import annotate
+from linkloom.llm.draw import draw
 from linkloom.llm.text_stats import Texts
 
 TRAIN_TEXTS = 4096
@@ -148,8 +149,8 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return ((kind % size).astype(np.int64) + 1, np.where(same, _SAME, (pair % size).astype(np.int64) + 1))
 
 
-def _sample(docs: DataFrame, id_col: str, text_col: str, bound: int, labellers: tuple[Labeller, ...]) -> list:
-    """(pattern, buckets, shares) of the sampled texts with words."""
+def _sample(docs: DataFrame, text_col: str, limit: int, labellers: tuple[Labeller, ...]) -> list:
+    """(pattern, buckets, shares) of the sampled texts with words: ``limit`` different texts at most."""
     def run(batches):
         for batch in batches:
             data, offsets = ta.flat_bytes(batch.column(0))
@@ -167,8 +168,8 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, bound: int, labellers:
                         [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.int64())),
                          pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["pattern", "buckets", "shares"])
 
-    sample = docs.where(F.xxhash64(F.col(id_col).cast("string")) <= F.lit(bound)).select(F.col(text_col).cast("string"))
-    rows = sample.mapInArrow(run, "pattern long, buckets array<long>, shares array<double>").collect()
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    rows = draw(texts, [F.col("text")], limit, ["text"]).mapInArrow(run, "pattern long, buckets array<long>, shares array<double>").collect()
     return sorted((r["pattern"], r["buckets"], r["shares"]) for r in rows)
 
 
@@ -205,22 +206,20 @@ def score(texts: Texts, weights: np.ndarray) -> np.ndarray:
     return np.where(texts.n_words > 0, 1 / (1 + np.exp(-np.clip(margin, -50, 50))), 0.0)
 
 
-def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def quality_classifier(docs: DataFrame, text_col: str = "text",
                        labellers: tuple[Labeller, ...] = LABELLERS, train_texts: int = TRAIN_TEXTS,
                        carry: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``carry``) with ``posterior``, ``score`` and ``kept``.
 
     ``posterior`` is the weak labels' probability of good quality, ``score`` the linear scorer's;
     ``kept`` is score >= 0.5. A null text or one without words gets score 0 and is not kept.
-    Equal texts are judged alike, whatever their id; an empty table gives an empty result; a
+    Ids are not read: equal texts are judged alike; an empty table gives an empty result; a
     column with the name of an added one is replaced. Only a table with clear junk teaches the
     scorer to reject: where the labellers agree that all is good, all texts with words are kept.
     """
     counts = count_patterns(docs, text_col, labellers)
     posterior, _ = fit_labellers(counts, len(labellers))
-    total = sum(counts.values())
-    bound = (1 << 63) - 1 if total <= train_texts else int(-(1 << 63) + (1 << 64) * train_texts // total)
-    weights = fit_scorer(_sample(docs, id_col, text_col, bound, labellers), posterior)
+    weights = fit_scorer(_sample(docs, text_col, train_texts, labellers), posterior)
     table = np.zeros(3 ** len(labellers))
     table[list(posterior)] = list(posterior.values())
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import text_arrays as ta
 from linkloom.llm.annotate import annotate
+from linkloom.llm.draw import draw
 from linkloom.llm.text_stats import Texts
 
 SAMPLE_ROWS = 1024
@@ -67,13 +68,11 @@ def rejected(texts: Texts, rules: tuple[Rule, ...], alive: np.ndarray) -> np.nda
     return ~alive
 
 
-def rule_profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, int]]:
-    """Seconds and rejections of each rule on the sample (every row, if the table has fewer)."""
-    total = docs.count()
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    bound = (1 << 63) - 1 if total <= sample_rows else int(-(1 << 63) + (1 << 64) * sample_rows // total)
-    sample = docs.where(key <= F.lit(bound)).select(F.col(text_col).cast("string"))
+def rule_profile(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES,
+                 sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, int]]:
+    """Seconds and rejections of each rule on ``sample_rows`` different texts (all, if the table has fewer)."""
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sample = draw(texts, [F.col("text")], sample_rows, ["text"])
 
     def run(batches):
         seconds, found = np.zeros(len(rules)), np.zeros(len(rules), np.int64)
@@ -101,16 +100,15 @@ def order_rules(profile: dict[str, tuple[float, int]], rules: tuple[Rule, ...] =
     return tuple(sorted(rules, key=worth))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES,
+def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES,
                   carry: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``carry``) with the base counts, ``base_failed`` and ``kept``.
 
     ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` count over the whole text
-    (null as empty: all zero, ``base_failed``, not kept). Rows that repeat are judged alike; null
-    ids are kept as they are; an empty table gives an empty result; a column with the name of an
+    (null as empty: all zero, ``base_failed``, not kept). Ids are not read: rows that repeat are judged alike; an empty table gives an empty result; a column with the name of an
     added one is replaced.
     """
-    ordered = order_rules(rule_profile(docs, id_col, text_col, rules), rules)
+    ordered = order_rules(rule_profile(docs, text_col, rules), rules)
 
     def make(texts: Texts):
         failed = base_failed(texts)

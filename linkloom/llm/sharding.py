@@ -1,12 +1,13 @@
 """Shards of near equal bytes by sampled splitters.
 
-Records are ordered by key (a hash of the text, so that equal texts lie together, then the id).
-A size-weighted sample of the keys gives quantile boundaries of many fine ranges; the bytes of
-each range are then summed exactly. A range with too many bytes is subdivided at boundaries
+Records are ordered by key (a hash of the text, so that equal texts lie together), then the id, then the row's number in the
+table, so that any run of records can be divided. A load-weighted sample of the keys gives quantile boundaries of many
+fine ranges; a record's load is its bytes plus the table's mean, so that neither bytes nor rows pile up. The loads of
+each range are then summed exactly. An overfull range is subdivided at boundaries
 from a new sample of that range alone, until all fit or no boundary is left: a text that
-makes up most of the table is divided by id. Neighbouring ranges make up shards.
+makes up most of the table is divided by id and row. Neighbouring ranges make up shards of equal bytes.
 
-The samples are bounded (``SAMPLE`` keys for the table, then for each overfull range) and the
+The samples are bounded (``SAMPLE`` keys for the table, then for each round of overfull ranges) and the
 boundaries with them; sums are partial aggregates. Slots are numbered inside one range at a time.
 """
 
@@ -20,77 +21,90 @@ from pyspark.sql import types as T
 
 from linkloom.plans.materialize import materialize
 
-RANGES_PER_SHARD = 64
+RANGES_PER_SHARD = 128
 SAMPLE = 16_384       # expected keys drawn from the table
-OVERFULL = 1.5        # times the mean bytes of a range
+OVERFULL = 1.5        # times the mean load of a range
 
+ORDER = ["shard_key", "shard_id", "shard_row"]
+_KEY = np.dtype([(c, np.int64) for c in ORDER])
 
-def _range_of(keys: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Number of boundaries (rows of (key, id), ascending) at or below each record."""
-    low, high = np.searchsorted(bounds[:, 0], keys, "left"), np.searchsorted(bounds[:, 0], keys, "right")
+
+def _keys(*columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(columns[0]), _KEY)
+    for c, x in zip(ORDER, columns):
+        out[c] = x
+    return out
+
+
+def _range_of(records: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Number of boundaries (ascending) at or below each record."""
+    low, high = (np.searchsorted(bounds["shard_key"], records["shard_key"], side) for side in ("left", "right"))
     out = low.astype(np.int64)
-    for at in np.unique(low[high > low]):  # records whose key is a boundary's key: compare ids
-        rows = np.flatnonzero((low == at) & (high > low))
-        out[rows] = at + np.searchsorted(bounds[at:high[rows[0]], 1], ids[rows], "right")
+    rows = np.flatnonzero(high > low)  # the key of a boundary: the id and row decide
+    out[rows] = np.searchsorted(bounds, records[rows], "right")
     return out
 
 
 def _with_range(records: DataFrame, bounds: np.ndarray) -> DataFrame:
     names = records.columns
-    key, rid = names.index("shard_key"), names.index("shard_id")
+    at = [names.index(c) for c in ORDER]
 
     def run(batches):
         for batch in batches:
-            at = _range_of(batch.column(key).to_numpy(), batch.column(rid).to_numpy(), bounds)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*names, "range"])
+            keys = _keys(*(batch.column(k).to_numpy() for k in at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_range_of(keys, bounds))], names=[*names, "range"])
 
     return records.mapInArrow(run, T.StructType([*records.schema.fields, T.StructField("range", T.LongType())]))
 
 
-def _draw(records: DataFrame, step: float, seed: int) -> np.ndarray:
-    """Keys drawn with probability size / step (all beyond), with the weight each stands for."""
-    chance = F.col("size") / F.lit(float(step))
-    unit = (F.shiftrightunsigned(F.xxhash64("shard_key", "shard_id", F.lit(seed)), 11)) / F.lit(float(1 << 53))
-    rows = (records.where(unit < chance)
-            .select("shard_key", "shard_id", F.greatest("size", F.lit(step)).cast("double").alias("weight")))
-    got = rows.toArrow()  # bounded: expected SAMPLE rows
-    table = np.rec.fromarrays([got[c].to_numpy() for c in ("shard_key", "shard_id", "weight")], names="key,id,weight")
-    table.sort(order=["key", "id"])
-    return table
+def _draw(records: DataFrame, step: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys drawn with probability load / step (all beyond), in order, with the load each stands for."""
+    unit = F.shiftrightunsigned(F.xxhash64(*ORDER, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    rows = (records.where(unit < F.col("load") / F.lit(float(step)))
+            .select(*ORDER, F.greatest("load", F.lit(step)).cast("double").alias("weight")))
+    got = rows.toArrow()  # bounded: expected SAMPLE rows, each drawn on its own
+    keys = _keys(*(got[c].to_numpy() for c in ORDER))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], got["weight"].to_numpy()[order]
 
 
-def _splitters(sample: np.ndarray, ranges: int) -> set[tuple[int, int]]:
+def _splitters(keys: np.ndarray, weights: np.ndarray, ranges: int) -> set[tuple]:
     """Keys at the weight quantiles of a sample."""
-    if not len(sample):
+    if not len(keys):
         return set()
-    upto = np.cumsum(sample["weight"])
+    upto = np.cumsum(weights)
     at = np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges)
-    return {(int(sample["key"][k]), int(sample["id"][k])) for k in at}
+    return {tuple(x) for x in keys[at].tolist()}
 
 
 def _boundaries(records: DataFrame, shards: int) -> tuple[np.ndarray, list]:
     total, rows = records.agg(F.sum("size"), F.count(F.lit(1))).first()
+    mean_size = -(-(total or 0) // max(rows, 1))
+    records = records.withColumn("load", F.col("size") + mean_size)
+    load = (total or 0) + rows * mean_size
     ranges = shards * RANGES_PER_SHARD
-    bounds = _splitters(_draw(records, max((total or 0) / SAMPLE, 1), 0), ranges)
+    bounds = _splitters(*_draw(records, max(load / SAMPLE, 1), 0), ranges)
     tried: set[tuple] = set()
     seed = 0
     while True:
-        array = np.array(sorted(bounds), np.int64).reshape(-1, 2)
+        array = np.array(sorted(bounds), _KEY)
         measured = (_with_range(records, array).groupBy("range")
                     .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).orderBy("range").collect())
-        mean = (total or 0) / ranges
-        span = lambda k: (tuple(array[k - 1]) if k else None, tuple(array[k]) if k < len(array) else None)
-        over = [r for r in measured if r["size"] > OVERFULL * mean and r["rows"] > 1 and span(r["range"]) not in tried]
+        mean = load / ranges
+        loads = {r["range"]: r["size"] + r["rows"] * mean_size for r in measured}
+        span = lambda k: (array[k - 1].item() if k else None, array[k].item() if k < len(array) else None)
+        over = [r for r in measured if loads[r["range"]] > OVERFULL * mean and r["rows"] > 1 and span(r["range"]) not in tried]
         if not over:
             return array, [tuple(r) for r in measured]
         seed += 1
         before = len(bounds)
         located = _with_range(records, array).where(F.col("range").isin([r["range"] for r in over]))
         tried |= {span(r["range"]) for r in over}
-        sample = _draw(located, max(sum(r["size"] for r in over) / SAMPLE, 1), seed)
-        at = _range_of(sample["key"], sample["id"], array)
+        keys, weights = _draw(located, max(sum(loads[r["range"]] for r in over) / SAMPLE, 1), seed)
+        at = _range_of(keys, array)
         for r in over:
-            bounds |= _splitters(sample[at == r["range"]], int(np.ceil(2 * r["size"] / mean)))
+            own = at == r["range"]
+            bounds |= _splitters(keys[own], weights[own], int(np.ceil(2 * loads[r["range"]] / mean)))
         if len(bounds) == before:
             return array, [tuple(r) for r in measured]
 
@@ -102,14 +116,16 @@ def shard_records(records: DataFrame, shards: int, id_col: str = "doc_id", size_
     Law: the shards' sums of ``size_col`` are near equal (the error is a fraction of one fine
     range, or one record). ``key_col`` is a long; equal keys share a shard unless they overfill
     their range. A null id counts as the smallest, a null key as 0; records that repeat key
-    and id stay in one range, in any order. With fewer records than shards some stay empty; an empty
-    table gives an empty result. Columns of ``records`` named shard or slot are replaced.
+    and id are divided like any others. With fewer records than shards some stay empty; an empty
+    table gives an empty result. Columns of ``records`` named shard or slot are replaced. The records are
+    written once to the checkpoint folder, so that every step sees the same row numbers.
     """
     kept = [c for c in records.columns if c not in ("shard", "slot")]
-    base = records.select(*kept, F.coalesce(F.col(key_col), F.lit(0)).cast("long").alias("shard_key"),
-                          F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("shard_id"))
-    narrow = materialize(base.select("shard_key", "shard_id", F.col(size_col).cast("long").alias("size")), "shard-keys")
-    bounds, measured = _boundaries(narrow, shards)
+    base = materialize(records.select(
+        *kept, F.coalesce(F.col(key_col), F.lit(0)).cast("long").alias("shard_key"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("shard_id"),
+        F.monotonically_increasing_id().alias("shard_row"), F.col(size_col).cast("long").alias("shard_size")), "shard-records")
+    bounds, measured = _boundaries(base.select(*ORDER, F.col("shard_size").alias("size")), shards)
     total = sum(m[1] for m in measured)
     plan, before, filled = [], 0, {}
     for place, size, rows in measured:  # one row per range: bounded by the samples
@@ -119,7 +135,7 @@ def shard_records(records: DataFrame, shards: int, id_col: str = "doc_id", size_
         before += size
     spark = records.sparkSession
     places = spark.createDataFrame(plan or [(0, 0, 0)], "range long, shard int, filled long")
-    inside = Window.partitionBy("range").orderBy("shard_key", "shard_id")
+    inside = Window.partitionBy("range").orderBy(*ORDER)
     return (_with_range(base, bounds).withColumn("nth", F.row_number().over(inside))
             .join(F.broadcast(places), "range")
             .select(*kept, "shard", (F.col("filled") + F.col("nth") - 1).cast("long").alias("slot")))

@@ -17,14 +17,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.bpe import bpe_encode
+from linkloom.llm.bpe import bpe_decode, bpe_encode
 from linkloom.llm.mixing import mix_sources
 from linkloom.llm.ngram_join import ngram_jaccard_join
 from linkloom.llm.quality_classifier import quality_classifier
 from linkloom.llm.quality_rules import quality_rules
+from linkloom.plans.materialize import materialize
 from linkloom.session import checkpoint_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+MAX_BROADCAST = 1 << 21  # row numbers (16 MB) that are broadcast
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,31 +40,33 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one whose id is the group's component id.
+    """One row of each group of near duplicates: of those with the smallest doc_id (null last), the first.
 
-    The documents that go are found by id. Rows that repeat one id count as one document and stay or
-    go together; a row without an id always stays.
+    Rows are told apart by their place in the table (``docs`` is read from Parquet), so rows that repeat an id, that have none, or
+    that are equal throughout are judged each for itself. A row without words is in no group and stays.
     """
-    groups = ngram_jaccard_join(docs)
-    others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    groups = ngram_jaccard_join(rows, "__row").join(rows.select("__row", "doc_id"), "__row")
+    groups = materialize(groups, "duplicate-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    first = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
+    gone = materialize(groups.where("n_shingles > 0").select("__row").join(first, "__row", "left_anti"), "duplicates")
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (not at all, or up to three times).
-
-    Documents without words take no part in the mix and go. Rows that repeat an id, and rows without
-    one, are taken as often as each other.
-    """
-    taken = mix_sources(docs).where("taken > 0").select(
-        F.col("doc_id").alias("of"), (F.col("taken") / F.col("size")).cast("int").alias("times")).dropDuplicates(["of"])
-    return (docs.join(taken, docs["doc_id"].eqNullSafe(taken["of"]))
-            .withColumn("times", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*docs.columns))
+    """Each row as often as the mix takes it (not at all, or up to three times). Rows without words take no part in the mix and go."""
+    taken = mix_sources(docs, carry=docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    taken = taken.toDF(*names, "__times").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times"))))
+    return taken.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left: ``doc_id, n_tokens, ids``."""
-    return bpe_encode(docs, TOKENIZER).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of every document that is left, and the text that they decode to: ``doc_id, n_tokens, ids, decoded``."""
+    decoded = bpe_decode(bpe_encode(docs, TOKENIZER), TOKENIZER)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

@@ -1,14 +1,14 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-* A bounded sample of the vectors (``SAMPLE`` by hash of the id) gives balanced cluster
+* A bounded sample of the vectors (at most ``SAMPLE`` different rows, by a hash of id and vector) gives balanced cluster
   centroids: clusters well over the mean are split, small ones dropped, between k-means rounds.
 * The centroids are linked to their nearest ones; that graph, held in each task, is searched
   best-first for every vector (its size is bounded by ``MAX_LISTS``).
 * Every vector goes to the list of its nearest centroid; a boundary vector also to others
   about as near (within ``COPY_RATIO``, ``COPIES`` lists at most; the first is always there).
-* A query is compared with all centroids and reads the lists whose centroids are within ``READ_RATIO`` of
-  the nearest one, or farther if the sample shows that fewer than ``READ_SHARE`` of the neighbours would be
-  read, however many lists that are.
+* A query searches the same graph, on and on until the next centroid lies beyond ``READ_RATIO`` times the nearest one's
+  distance (or beyond the larger ratio at which the sample shows ``READ_SHARE`` of the neighbours to be read), and reads the lists within
+  it, however many they are.
 
 Largest inner product becomes smallest distance by one more component that gives all vectors the
 length of the longest. Lists go to tasks in bundles, and a query once to each bundle that holds lists it
@@ -28,12 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.llm.draw import draw
+
 SAMPLE = 32_768
 LIST_ROWS = 256        # vectors per list, before copies
 MAX_LISTS = 2048
 SINGLE = 2048          # tables up to this size have one list
 ROUNDS = 8             # of k-means
-NEIGHBOURS = 24        # links of a centroid
+NEIGHBOURS = 24        # nearest ones that a centroid is linked to
+BACK = 8               # of them, those that are linked to it
 BEAM = 256             # lists kept by a search of the graph unless told
 COPIES = 2
 COPY_RATIO = 1.02
@@ -91,10 +94,20 @@ def balanced_centroids(vectors: np.ndarray, lists: int, rounds: int = ROUNDS) ->
 
 
 def _graph(centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest neighbours of each centroid, and entries spread by farthest-first choice."""
+    """Links of each centroid, and entries spread by farthest-first choice.
+
+    A centroid is linked to its nearest ones, and is itself linked from ``BACK`` of these, the ones with the fewest such links so
+    far: none is out of reach, and no one has many more links than others. Short rows repeat the centroid itself."""
     between = _distances(centroids, centroids)
     np.fill_diagonal(between, np.inf)
-    links = np.argsort(between, 1, kind="stable")[:, :NEIGHBOURS]
+    near = np.argsort(between, 1, kind="stable")[:, :NEIGHBOURS]
+    back: list[list[int]] = [[] for _ in range(len(centroids))]
+    for k, row in enumerate(near.tolist()):
+        for other in sorted((x for x in row if x != k), key=lambda x: len(back[x]))[:BACK]:
+            back[other].append(k)
+    width = max(map(len, back), default=0)
+    own = np.array([row + [k] * (width - len(row)) for k, row in enumerate(back)], np.int64).reshape(len(centroids), width)
+    links = np.concatenate([near, own], 1)
     entries = [0]
     far = between[0].copy()
     far[0] = 0
@@ -104,22 +117,30 @@ def _graph(centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return links, np.unique(entries)
 
 
-def search(index: Index, vectors: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Best-first search of the centroid graph for each vector: list numbers and distances, nearest first."""
+def search(index: Index, vectors: np.ndarray, beam: int = BEAM, ratio: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Best-first search of the centroid graph for each vector: list numbers and distances, nearest first (infinite: not reached).
+
+    It goes on while the next centroid is among the ``beam`` nearest; with a ``ratio``, while it lies within
+    that many times the nearest one's distance or the lists so far hold fewer than ``READ_ROWS`` expected rows."""
     n, k = len(vectors), len(index.centroids)
+    beam = k if ratio else beam
     beam = min(beam, k)
     seen = np.full((n, k), np.inf, np.float32)
     seen[:, index.entries] = _distances(vectors, index.centroids[index.entries])
     closed = np.zeros((n, k), bool)
+    rows = np.zeros(n)
     active = np.arange(n)
     while len(active):
         open_ = np.where(closed[active], np.inf, seen[active])
         best = open_.argmin(1)
         nearest = open_[np.arange(len(active)), best]
-        limit = np.partition(seen[active], beam - 1, axis=1)[:, beam - 1]
-        more = np.isfinite(nearest) & (nearest <= limit)
+        if ratio:
+            more = np.isfinite(nearest) & ((nearest <= ratio ** 2 * seen[active].min(1)) | (rows[active] < READ_ROWS))
+        else:
+            more = np.isfinite(nearest) & (nearest <= np.partition(seen[active], beam - 1, axis=1)[:, beam - 1])
         active, best = active[more], best[more]
         closed[active, best] = True
+        rows[active] += index.rows[best]
         near = index.links[best]
         found = ((vectors[active][:, None, :] - index.centroids[near]) ** 2).sum(2)
         seen[active[:, None], near] = found
@@ -134,17 +155,12 @@ def copies(index: Index, vectors: np.ndarray) -> list[np.ndarray]:
 
 
 def reads(index: Index, vectors: np.ndarray) -> list[np.ndarray]:
-    """Lists that each query reads: by distance ratio, and as many as hold ``READ_ROWS`` expected rows.
-
-    All centroids are compared (``MAX_LISTS`` at most, one matrix product): a search of the graph misses
-    some that are within the ratio.
-    """
+    """Lists that each query reads, by a search of the graph: those within the distance ratio, and as many as hold
+    ``READ_ROWS`` expected rows."""
     ratio = max(READ_RATIO, index.ratio)
-    far = np.sqrt(_distances(vectors, index.centroids))
-    lists = np.argsort(far, 1, kind="stable")
-    far = np.take_along_axis(far, lists, 1)
+    lists, far = search(index, vectors, ratio=ratio)
     rows = np.cumsum(index.rows[lists], 1) - index.rows[lists]
-    keep = (far <= ratio * far[:, :1]) | (rows < READ_ROWS)
+    keep = np.isfinite(far) & ((far <= ratio * far[:, :1]) | (rows < READ_ROWS))
     return [places[some] for places, some in zip(lists, keep)]
 
 
@@ -212,12 +228,11 @@ def build_index(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     width, n, longest = _stats(vectors, vec_col)
     if not n:
         return None
-    bound = (1 << 63) - 1 if n <= sample else int(-(1 << 63) + (1 << 64) * sample // n)
-    drawn = vectors.where(F.xxhash64(F.col(id_col)) <= F.lit(bound)).select(
-        F.col(vec_col), F.coalesce(is_query, F.lit(False)).alias("asks"), F.xxhash64(F.col(id_col)).alias("at")).toArrow()
-    drawn = drawn.combine_chunks().sort_by("at")
+    content = [F.col(id_col), F.col(vec_col)]
+    rows = vectors.select(id_col, vec_col, F.coalesce(is_query, F.lit(False)).alias("__asks"), F.xxhash64(*content).alias("__at"))
+    drawn = draw(rows, content, sample, [vec_col, "__asks", "__at"]).toArrow().combine_chunks().sort_by("__at")
     rows, points = _valid(drawn[vec_col].combine_chunks(), width)
-    asks = drawn["asks"].to_numpy()[rows]
+    asks = drawn["__asks"].to_numpy()[rows]
     points = _extended(points, longest)
     lists = 1 if n <= SINGLE or not len(points) else int(min(MAX_LISTS, max(2, n // list_rows)))
     centroids = balanced_centroids(points, lists) if lists > 1 else np.zeros((1, width + 1), np.float32)

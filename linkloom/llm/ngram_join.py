@@ -324,7 +324,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min(id_col).alias("low"))
     linked = materialize(smallest.join(roots, smallest["set_id"] == roots["id"], "left")
                          .select("set_id", F.coalesce("root", "set_id").alias("root"), "low"), "ngram-roots")
-    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    # Written apart from the join, which may then split a component that holds most sets.
+    lows = materialize(linked.groupBy("root").agg(F.min("low").alias("component_id")), "ngram-components")
     members = linked.join(lows, "root").select("set_id", "component_id")
     return (sets.join(members, "set_id", "left")
             .select(id_col, "n_shingles", F.when(F.col("n_shingles") == 0, F.col(id_col))

@@ -26,15 +26,6 @@ def suggestion_stats(sugg: DataFrame, approx: bool = False) -> DataFrame:
                                F.lit(0.0)).alias("avg_per_page"))
 
 
-def suggestion_totals(counts: DataFrame) -> DataFrame:
-    """A4-A6 from one row per source URL ``(source_url, links)`` (a null source is no page)."""
-    s = counts.agg(F.coalesce(F.sum("links"), F.lit(0)).alias("total_suggestions"),
-                   F.count("source_url").alias("pages_with_suggestions"))
-    return s.select("total_suggestions", "pages_with_suggestions",
-                    F.coalesce(F.try_divide(F.col("total_suggestions").cast("double"),
-                                            F.col("pages_with_suggestions")), F.lit(0.0)).alias("avg_per_page"))
-
-
 def progress_ratio(current, total):
     """``current / max(1, total)``."""
     return current.cast("double") / F.greatest(F.lit(1), total).cast("double")

@@ -116,6 +116,24 @@ def run_events_of(spark: SparkSession, store: str, run_id: str | None = None) ->
     return _read(spark, store, "events", "job_id string, ts timestamp_ntz, event_id long, cmd string", run_id).drop("run_id", "step")
 
 
+SKETCH_BITS = 16  # of a distinct-count sketch: 64 KB at most, relative error about 0.4 %; exact while it holds few
+
+
+def source_sketch(links: DataFrame) -> DataFrame:
+    """One row ``(links, sources)``: the number of links and a mergeable sketch of their sources."""
+    return links.agg(F.count(F.lit(1)).alias("links"), F.hll_sketch_agg("source_url", SKETCH_BITS).alias("sources"))
+
+
+def run_totals(spark: SparkSession, store: str, run_id: str | None = None) -> DataFrame:
+    """A4-A6 of the store's (or one run's) committed steps from their sketches, one row per step, without reading a suggestion:
+    ``(total_suggestions, pages_with_suggestions, avg_per_page)``. The distinct count is an estimate; ``suggestion_stats`` over
+    :func:`stored_suggestions` is the exact one."""
+    rows = _read(spark, store, "sketch", "links long, sources binary", run_id)
+    totals = rows.agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sources")), F.lit(0)).alias("pages"))
+    return totals.select(F.col("links").alias("total_suggestions"), F.col("pages").alias("pages_with_suggestions"),
+                         F.coalesce(F.try_divide(F.col("links").cast("double"), F.col("pages")), F.lit(0.0)).alias("avg_per_page"))
+
+
 def run_status(spark: SparkSession, store: str, run_id: str) -> str | None:
     """W4 over the run's ledger; None for a run that does not exist."""
     row = job_state_fold(run_events_of(spark, store, run_id)).first()
@@ -163,7 +181,8 @@ def run(pages: DataFrame, store: str, run_id: str, now: str, catalogue: DataFram
         tables = {}
         if n:
             links = union_suggestions(link_suggestions(left, p, prepared=prepare_targets(catalogue, p)))
-            tables = {"suggestions": materialize(links, "step-suggestions"), "processed": now_done}
+            links = materialize(links, "step-suggestions")
+            tables = {"suggestions": links, "processed": now_done, "sketch": source_sketch(links)}
     except Exception:
         _commit(spark, store, run_id, step, now, [*cmds, "fail"], {}, 0)
         raise

@@ -23,7 +23,7 @@ from linkloom.operators.duplicate_classes import duplicate_classes
 from linkloom.operators.ordinal import with_ordinal
 from linkloom.operators.relevance import suggestions_with_relevance
 from linkloom.plans import fixtures as FX
-from linkloom.plans.linking_run import link_requests, resume, run, stored_suggestions
+from linkloom.plans.linking_run import link_requests, resume, run, run_totals, stored_suggestions
 from linkloom.session import scratch
 from linkloom.sources import files as FI
 from linkloom.sources.html import corpus_from_html
@@ -58,9 +58,8 @@ def q_suggestions_reload(spark, sf):
     return FI.read_suggestions(spark, path)
 
 
-def q_resume_append(spark, sf):
-    """K3 + U1/U2 + A8: a run over the first half of the pages, resumed over all of them, and resumed
-    again with nothing left."""
+def _resumed_run(spark, sf):
+    """The store of a run over the first half of the pages, resumed over all of them, and resumed again with nothing left."""
     corpus = FX.corpus(spark, sf)
     store = scratch(spark, "run")
     ordered = with_ordinal(corpus.select("page_id"), ["page_id"], "page_no")
@@ -68,7 +67,17 @@ def q_resume_append(spark, sf):
     run(corpus.join(half, "page_id", "left_semi"), store, "run1", AS_OF, catalogue=corpus)
     resume(corpus, store, "run1", AS_OF, catalogue=corpus)
     resume(corpus, store, "run1", AS_OF, catalogue=corpus)
-    return stored_suggestions(spark, store).drop("run_id")
+    return store
+
+
+def q_resume_append(spark, sf):
+    """K3 + U1/U2 + A8."""
+    return stored_suggestions(spark, _resumed_run(spark, sf)).drop("run_id")
+
+
+def q_run_totals(spark, sf):
+    """A4-A6 from the mergeable sketches of the run's steps."""
+    return run_totals(spark, _resumed_run(spark, sf))
 
 
 def q_job_records(spark, sf):
@@ -369,6 +378,10 @@ def q_stream_link_suggestions(spark, sf):
     return _streaming().stream_link_suggestions(spark, sf)
 
 
+def q_stream_growing_links(spark, sf):
+    return _streaming().stream_growing_links(spark, sf)
+
+
 def q_stream_corpus_stats(spark, sf):
     return _streaming().stream_corpus_stats(spark, sf)
 

@@ -613,6 +613,11 @@ FROM jobs"""),
 SELECT *, row_number() OVER (ORDER BY source_url, rank) AS preview_pos
 FROM ({_link_sugg()}) ORDER BY source_url, rank LIMIT 20"""),
     "stream_link_suggestions": _w(*_C, *_LS, body=_link_sugg()),
+    "stream_growing_links": _w(*_C, *_LS, body=_link_sugg() + " AND source_id % 2 = 1"),
+    "run_totals": _w(*_C, *_LS, f"ls AS ({_link_sugg()})", body="""
+SELECT total_suggestions, pages_with_suggestions,
+       coalesce(CAST(total_suggestions AS DOUBLE) / nullif(pages_with_suggestions, 0), 0.0) AS avg_per_page
+FROM (SELECT count(*) AS total_suggestions, count(DISTINCT source_url) AS pages_with_suggestions FROM ls)"""),
     "stream_suggestion_stats": _w(*_C, *_LS, f"ls AS ({_link_sugg()})", body="""
 SELECT total_suggestions, pages_with_suggestions,
        coalesce(CAST(total_suggestions AS DOUBLE) / nullif(pages_with_suggestions, 0), 0.0) AS avg_per_page

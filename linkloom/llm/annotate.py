@@ -34,5 +34,5 @@ def annotate(docs: DataFrame, text_col: str, added: str, make: Callable[[Texts],
                     names=[*carried, *new.names])
 
     schema = T.StructType([docs.schema[c] for c in carried] + [T.StructField(f.name, f.dataType) for f in new.fields])
-    source = docs.select(*(docs[f"`{c}`"] for c in carried), docs[f"`{text_col}`"].cast("string").alias("__text"))
+    source = ta.small_batches(docs).select(*(docs[f"`{c}`"] for c in carried), docs[f"`{text_col}`"].cast("string").alias("__text"))
     return source.mapInArrow(run, schema)

@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[
 
     schema = T.StructType([docs.schema[c] for c in carried] + [T.StructField("lang_pred", T.StringType()),
                                                                T.StructField("score", T.DoubleType())])
-    return docs.select(*(docs[f"`{c}`"] for c in carried), docs[f"`{text_col}`"].cast("string").alias("__text")
+    return ta.small_batches(docs).select(*(docs[f"`{c}`"] for c in carried), docs[f"`{text_col}`"].cast("string").alias("__text")
                        ).mapInArrow(run, schema)
 
 

@@ -314,7 +314,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an empty result; other columns of ``docs`` are not read.
     """
     num, den = threshold
-    sets = materialize(set_table(docs, id_col, text_col, ngram), "ngram-sets")
+    sets = materialize(set_table(ta.small_batches(docs), id_col, text_col, ngram), "ngram-sets")
     entries = sets.agg(F.sum("n_shingles")).first()[0] or 0
     parts = int(max(8, -(-entries // ENTRIES_PER_BLOCK)))
     rows = materialize(_rows_left(_shared_columns(_entries(docs, text_col, ngram, parts), parts), parts, num, den),

@@ -82,7 +82,7 @@ def count_patterns(docs: DataFrame, text_col: str = "text", labellers: tuple[Lab
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["pattern", "n"])
 
-    rows = (docs.select(F.col(text_col).cast("string")).mapInArrow(run, "pattern long, n long")
+    rows = (ta.small_batches(docs).select(F.col(text_col).cast("string")).mapInArrow(run, "pattern long, n long")
             .groupBy("pattern").agg(F.sum("n").alias("n")).collect())  # at most 3 ** labellers rows
     return {r["pattern"]: r["n"] for r in rows}
 

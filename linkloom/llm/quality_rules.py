@@ -71,7 +71,7 @@ def rejected(texts: Texts, rules: tuple[Rule, ...], alive: np.ndarray) -> np.nda
 def rule_profile(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES,
                  sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, int]]:
     """Seconds and rejections of each rule on ``sample_rows`` different texts (all, if the table has fewer)."""
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = ta.small_batches(docs).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sample = draw(texts, [F.col("text")], sample_rows, ["text"])
 
     def run(batches):

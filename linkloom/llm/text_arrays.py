@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 # Text handled at once: each byte costs about 30 bytes of temporary arrays.
 CHUNK_BYTES = 2 << 20
@@ -75,6 +76,19 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+BATCH_BYTES = 8 << 20  # of an Arrow batch between the JVM and a Python worker
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after bounding the session's Arrow batches by bytes: with texts, Spark's default of 10,000 rows or 64 MB for each task in
+    each direction would take much of an executor's memory outside its heap."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return docs
+
+
 def as_text(column) -> pa.Array:
     """A string column with 64-bit offsets and '' for null."""
     if isinstance(column, pa.ChunkedArray):

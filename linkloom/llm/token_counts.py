@@ -208,7 +208,7 @@ def _scan(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFr
 
     names = ["key", "id", "n_bytes", "n_tokens", "no", "text"]
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return ta.small_batches(docs).select(F.monotonically_increasing_id().alias("key"), F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, f"key long, id {kind}, n_bytes long, n_tokens long, no int, text string")
 
 

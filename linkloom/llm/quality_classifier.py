@@ -6,7 +6,7 @@
    at most 3 ** labellers of them, so the driver iterates over a bounded table.
 3. The posterior of its pattern is each text's soft label. A linear scorer on hashed features
    (shapes of words, of neighbouring words, repetition) learns it on a bounded sample
-   (``TRAIN_TEXTS`` expected texts by hash of the id).
+   (at most ``TRAIN_TEXTS`` different texts, the first by a hash of the text).
 4. All whole texts are scored in one narrow stage; the weights have a fixed size.
 """
 

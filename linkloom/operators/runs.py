@@ -210,7 +210,7 @@ def job_latest(run_events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_events"))
 
 
-def job_status_spans(run_events: DataFrame, block: int = 256) -> DataFrame:
+def job_status_spans(run_events: DataFrame, block: int = 64) -> DataFrame:
     """Every change of status with the status before it and the time until the next change:
     ``(job_id, event_id, prev_status, status, micros_in_status)``; a rejected command ends nothing.
 

@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.bpe import bpe_decode, bpe_encode
+from linkloom.llm.bpe import bpe_round_trip
 from linkloom.llm.mixing import mix_sources
 from linkloom.llm.ngram_join import ngram_jaccard_join
 from linkloom.llm.quality_classifier import quality_classifier
@@ -65,8 +65,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, and the text that they decode to: ``doc_id, n_tokens, ids, decoded``."""
-    decoded = bpe_decode(bpe_encode(docs, TOKENIZER), TOKENIZER)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    return bpe_round_trip(docs, TOKENIZER).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

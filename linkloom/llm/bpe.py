@@ -238,6 +238,24 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     return ta.small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
+def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, ids, decoded)`` for each row: :func:`bpe_encode` and :func:`bpe_decode` in one pass, so that a task has one Python worker
+    with the vocabulary, not two."""
+    def run(batches):
+        vocab = vocabulary(tokenizer)
+        for batch in batches:
+            texts = ta.as_text(batch.column(1))
+            _, offsets = ta.flat_bytes(texts)
+            for i, j in ta.chunks(offsets):
+                ids, bounds = vocab.encode(texts[i:j].to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[i:j], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)),
+                     vocab.decode(ids, bounds).cast(pa.string())], names=[id_col, "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return ta.small_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+
+
 def bpe_decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(id, ids, decoded string)``: the text of each row's ids, special tokens included.
 

@@ -67,7 +67,9 @@ def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     h = shared_turns(F.col("conv_id"))
     joined = (first.withColumn("base", F.col("conv_id") - F.pmod(F.col("conv_id"), F.lit(BRANCH)))
               .join(base, "base", "left").withColumn("taken", F.when(h > 0, F.slice("begin", 1, h))))
-    convs = joined.select("conv_id", ((F.coalesce(F.size("taken"), F.lit(0)) <= 0) & (F.size("first") <= h)).alias("empty"))
+    joined = materialize(joined.select(
+        "conv_id", "taken", ((F.coalesce(F.size("taken"), F.lit(0)) <= 0) & (F.size("first") <= h)).alias("empty")), "conversations")
+    convs = joined.select("conv_id", "empty")
     begins = joined.select("conv_id", F.inline("taken")).select(
         "conv_id", F.lit(0).alias("piece"), F.col("n").alias("place"), "h1", "h2", "bytes")
     own = turns.where(F.col("n") > h).select("conv_id", F.lit(1).alias("piece"), F.col("n").alias("place"), "h1", "h2", "bytes")
@@ -108,13 +110,14 @@ def _families(nodes: DataFrame) -> DataFrame:
             own = [rows[c].to_numpy() for c in ("ga", "gb", "a", "b")]
             follow = [np.append(x[1:], 0 if after is None else after[k]) for k, x in enumerate(own)]
             same = (own[0] == follow[0]) & (own[1] == follow[1])
-            edge = np.zeros(len(same), bool)
-            edge[-1] = after is None
+            edge, first = np.zeros(len(same), bool), np.zeros(len(same), bool)
+            edge[-1], first[0] = after is None, not begun
             for name, x in (("follow", same & ~edge), ("fa", follow[2]), ("fb", follow[3])):
                 rows = rows.append_column(name, pa.array(x))
-            return rows.append_column("_part", pa.array(np.full(len(same), part, np.int32))).append_column("_edge", pa.array(edge))
+            return rows.append_column("_part", pa.array(np.full(len(same), part, np.int32))).append_column(
+                "_edge", pa.array(edge)).append_column("_first", pa.array(first))
 
-        held = None
+        held, begun = None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -130,18 +133,23 @@ def _families(nodes: DataFrame) -> DataFrame:
             head = int(heads_[-1]) if known[-1] else None
             if held is not None:
                 yield from finish(held, (ga[0], gb[0], rows["a"][0].as_py(), rows["b"][0].as_py())).to_batches()
+                begun = True
             held = rows
         if held is not None:
             yield from finish(held, None).to_batches()
 
     schema = ("ga long, gb long, kind int, a long, b long, conv_id long, depth long, n_convs long, save long, "
-              "head long, follow boolean, fa long, fb long, _part int, _edge boolean")
+              "head long, follow boolean, fa long, fb long, _part int, _edge boolean, _first boolean")
     rows = ranged(heads.unionByName(children), "ga", "gb", "kind", "conv_id").mapInArrow(local, schema)
     rows = materialize(rows, "families")
-    # One row per partition: its first row, and the head that its last row's family has (null: further back).
-    ends = (rows.groupBy("_part").agg(
-        F.min(F.struct("ga", "gb", "kind", "conv_id", "a", "b")).alias("first"),
-        F.max(F.struct("ga", "gb", "kind", "conv_id", "head")).alias("last")).orderBy("_part").collect())
+    # A partition's first row, and its last with the head that its family has (null: further back).
+    ends = []
+    for part, *rest in sorted(map(tuple, rows.where("_first OR _edge").select("_part", "ga", "gb", "kind", "conv_id", "a", "b", "head", "_edge").collect()),
+                              key=lambda r: (r[0], r[-1])):
+        row = dict(zip(("ga", "gb", "kind", "conv_id", "a", "b", "head"), rest))
+        if not ends or ends[-1]["_part"] != part:
+            ends.append({"_part": part, "first": row})
+        ends[-1]["last"] = row
     patches, head = [], None
     for k, r in enumerate(ends):
         after = ends[k + 1]["first"] if k + 1 < len(ends) else None
@@ -377,7 +385,6 @@ def prefix_trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     """
     turns = materialize(ordered_turns(conversations, conv_col, turn_col, role_col, text_col), "turns")
     pieces, convs = rebuilt_turns(turns)
-    convs = materialize(convs, "conversations")
     rows = materialize(scan_sequences(pieces, "conv_id", ["piece", "place"], ("h1", "h2"), ["bytes"]), "rebuilt")
     nodes = materialize(trie_nodes(rows, convs), "trie-nodes")
     families = _families(nodes)

@@ -95,8 +95,10 @@ def scan_sequences(df: DataFrame, group: str, order: list, hashes: tuple[str, st
             ends = np.zeros(n, bool)
             ends[np.append(starts[1:], n) - 1] = True
             state = (keys[-1], int(place[-1]), now[0][-1], now[2][-1])
+            edge = np.zeros(n, bool)
+            edge[0] = held is None  # of the partition
             made = pa.table([*out, *(_signed(x) for x in (now[0], now[2], now[1], now[3])), pa.array(ends),
-                             pa.array(np.full(n, part, np.int32))], names=names)
+                             pa.array(np.full(n, part, np.int32)), pa.array(edge)], names=names)
             if held is not None:
                 if held["__key"] == keys[0]:
                     held["row"] = held["row"].set_column(names.index("last"), "last", pa.array([False]))
@@ -104,13 +106,15 @@ def scan_sequences(df: DataFrame, group: str, order: list, hashes: tuple[str, st
             held = {"row": made.slice(n - 1), "__key": keys[-1]}
             yield from made.slice(0, n - 1).to_batches()
         if held is not None:
-            yield from held["row"].to_batches()
+            yield from held["row"].set_column(names.index("_edge"), "_edge", pa.array([True])).to_batches()
 
-    names = [*columns, "n", "a", "b", "pa", "pb", "last", "_part"]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n long, a long, b long, pa long, pb long, last boolean, _part int"
+    names = [*columns, "n", "a", "b", "pa", "pb", "last", "_part", "_edge"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n long, a long, b long, pa long, pb long, last boolean, _part int, _edge boolean"
     rows = materialize(ranged(df, group, *order).select(*columns, *hashes).mapInArrow(local, schema), "sequence-scan")
-    ends = (rows.groupBy("_part").agg(F.min(group).alias("first"), F.max(F.struct(group, "n", "a", "b")).alias("last"))
-            .orderBy("_part").collect())
+    found: dict[int, list] = {}  # a partition's first and last row
+    for r in rows.where("_edge").select("_part", group, "n", "a", "b").collect():
+        found.setdefault(r[0], []).append(tuple(r)[1:])
+    ends = [{"_part": p, "first": min(found[p])[0], "last": max(found[p])} for p in sorted(found)]
     carried: dict[int, tuple] = {}  # partition -> rows and hashes of its first group in the partitions before
     more: dict[int, int] = {}       # partition -> group that goes on in the next one
     for before, here in zip(ends, ends[1:]):
@@ -124,7 +128,7 @@ def scan_sequences(df: DataFrame, group: str, order: list, hashes: tuple[str, st
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            part = batch.column(batch.num_columns - 1).to_numpy()
+            part = batch.column(batch.num_columns - 2).to_numpy()
             place, a, b, back_a, back_b = (batch.column(len(columns) + k).to_numpy().copy() for k in range(5))
             last = batch.column(len(columns) + 5).to_numpy(zero_copy_only=False).copy()
             for p in np.unique(part).tolist():
@@ -142,9 +146,9 @@ def scan_sequences(df: DataFrame, group: str, order: list, hashes: tuple[str, st
                     place[own] += n
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(columns))]
-                + [pa.array(x) for x in (place, a, b, back_a, back_b, last)], names=names[:-1])
+                + [pa.array(x) for x in (place, a, b, back_a, back_b, last)], names=names[:-2])
 
-    return rows.mapInArrow(whole, schema.removesuffix(", _part int"))
+    return rows.mapInArrow(whole, schema.removesuffix(", _part int, _edge boolean"))
 
 
 def _joined(first: tuple, second: tuple) -> tuple:
@@ -161,23 +165,30 @@ def running_sums(df: DataFrame, order: str, values: list[str], carry: list[str])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        total = [0] * len(values)
+        total, held = [0] * len(values), None  # a batch waits for the next: the partition's last row is marked
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                yield held
             sums = []
             for k in range(len(values)):
                 run = np.cumsum(batch.column(1 + len(carry) + k).to_numpy(zero_copy_only=False)) + total[k]
-                total[k] = int(run[-1]) if len(run) else total[k]
+                total[k] = int(run[-1])
                 sums.append(pa.array(run))
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(1 + len(carry))] + sums
-                                             + [pa.array(np.full(batch.num_rows, part, np.int32))], names=[*names, "_part"])
+            held = pa.RecordBatch.from_arrays(
+                [batch.column(k) for k in range(1 + len(carry))] + sums
+                + [pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.zeros(batch.num_rows, bool))], names=[*names, "_part", "_edge"])
+        if held is not None:
+            edge = np.arange(held.num_rows) == held.num_rows - 1
+            yield held.set_column(len(names) + 1, "_edge", pa.array(edge))
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", _part int"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", _part int, _edge boolean"
     rows = materialize(ranged(df.select(*names), order).mapInArrow(local, schema), "running-sums")
-    ends = rows.groupBy("_part").agg(F.max(F.struct(order, *values)).alias("last")).orderBy("_part").collect()
     offsets, total = [], [0] * len(values)
-    for r in ends:
-        offsets.append((r["_part"], *total))
-        total = [t + r["last"][v] for t, v in zip(total, values)]
+    for part, *last in sorted(map(tuple, rows.where("_edge").select("_part", *values).collect())):
+        offsets.append((part, *total))
+        total = [t + x for t, x in zip(total, last)]
     # One row per partition.
     offsets = df.sparkSession.createDataFrame(offsets, "_part int, " + ", ".join(f"_{v} long" for v in values))
     return rows.join(F.broadcast(offsets), "_part").select(

@@ -27,7 +27,7 @@ def annotate(docs: DataFrame, text_col: str, added: str, make: Callable[[Texts],
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             data, offsets = ta.flat_bytes(texts)
-            for i, j in ta.chunks(offsets):
+            for i, j in ta.chunks(offsets, give_back=True):
                 made = make(Texts(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(k)[i:j] for k in range(len(carried))] + [pa.array(x) for x in made],

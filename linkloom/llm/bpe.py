@@ -246,7 +246,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         for batch in batches:
             texts = ta.as_text(batch.column(1))
             _, offsets = ta.flat_bytes(texts)
-            for i, j in ta.chunks(offsets):
+            for i, j in ta.chunks(offsets, give_back=True):
                 ids, bounds = vocab.encode(texts[i:j].to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)),

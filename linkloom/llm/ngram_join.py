@@ -83,7 +83,7 @@ def _set_ids(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _batch_sets(column, ngram: int, limit: int = ta.CHUNK_BYTES) -> Iterator[tuple]:
     data, offsets = ta.flat_bytes(column)
-    for i, j in ta.chunks(offsets, limit):
+    for i, j in ta.chunks(offsets, limit, give_back=True):
         yield i, j, *_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], ngram)
 
 

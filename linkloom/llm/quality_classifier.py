@@ -76,7 +76,7 @@ def count_patterns(docs: DataFrame, text_col: str = "text", labellers: tuple[Lab
         total = np.zeros(3 ** len(labellers), np.int64)
         for batch in batches:
             data, offsets = ta.flat_bytes(batch.column(0))
-            for i, j in ta.chunks(offsets):
+            for i, j in ta.chunks(offsets, give_back=True):
                 texts = Texts(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 total += np.bincount(patterns(votes(texts, labellers)), minlength=len(total))
         found = np.flatnonzero(total)
@@ -154,7 +154,7 @@ def _sample(docs: DataFrame, text_col: str, limit: int, labellers: tuple[Labelle
     def run(batches):
         for batch in batches:
             data, offsets = ta.flat_bytes(batch.column(0))
-            for i, j in ta.chunks(offsets):
+            for i, j in ta.chunks(offsets, give_back=True):
                 texts = Texts(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 one, two = features(texts)
                 rows = []

@@ -109,15 +109,17 @@ def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts together stay within ``limit`` bytes (one row at least)."""
+def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES, give_back: bool = False) -> Iterator[tuple[int, int]]:
+    """Row ranges whose texts together stay within ``limit`` bytes (one row at least). ``give_back`` returns freed memory to the
+    system after the last, for operators that share their workers with others in a pipeline."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
-    _give_back()
+    if give_back:
+        _give_back()
 
 
 def _give_back() -> None:

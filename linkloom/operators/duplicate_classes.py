@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.operators.linking import LinkParams, Sketches, near_duplicate_pairs, ordered_prefixes, page_sketches
+from linkloom.operators.linking import FEW_PAGES, LinkParams, Sketches, near_duplicate_pairs, ordered_prefixes, page_sketches
 from linkloom.plans.materialize import materialize
 
 
@@ -42,7 +42,10 @@ def duplicate_classes(corpus: DataFrame, p: LinkParams = LinkParams()) -> DataFr
     sets = sketches.where("nsh > 0").withColumn("k", F.xxhash64("sh")).withColumn("k2", F.xxhash64(F.lit(1), "sh"))
     copies = materialize(sets.groupBy("k", "k2").agg(F.min("page_id").alias("of")).join(
         sets.select("k", "k2", "page_id"), ["k", "k2"]).select("page_id", "of"), "equal-pages")
-    one = materialize(sketches.join(copies.where("page_id = of").select("page_id"), "page_id", "left_semi"), "representatives")
+    # The sets of the representatives are read from the pages' table; they are written again only if there are too many to broadcast.
+    ids = copies.where("page_id = of").select("page_id")
+    one = (sketches.join(F.broadcast(ids), "page_id", "left_semi") if ids.count() <= FEW_PAGES
+           else materialize(sketches.join(ids, "page_id", "left_semi"), "representatives"))
     whole = Sketches(one.select("page_id", "nsh", "prefix"), corpus.select("page_id", "content"))
     lists = ordered_prefixes(one, p).select("s", "page_id", "nsh")
     shared = lists.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s")
